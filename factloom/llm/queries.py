@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from factloom.llm.decontaminate import SQL as OP7_SQL
+from factloom.llm.decontaminate import op7_benchmark_decontamination
+from factloom.llm.shard import op10_sharding
 from factloom.llm.simhash_dedup import op3_simhash_dedup
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op10_sharding": op10_sharding,
+}
+ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
