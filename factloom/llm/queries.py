@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from factloom.llm.decontaminate import SQL as OP7_SQL
 from factloom.llm.decontaminate import op7_benchmark_decontamination
+from factloom.llm.language_id import op4_language_id
 from factloom.llm.licenses import op9_license_scan
 from factloom.llm.packing import op6_best_fit_packing
 from factloom.llm.shard import op10_sharding
 from factloom.llm.simhash_dedup import op3_simhash_dedup
+from factloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op8_toxicity": op8_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
