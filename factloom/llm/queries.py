@@ -6,12 +6,17 @@ from factloom.llm.decontaminate import SQL as OP7_SQL
 from factloom.llm.decontaminate import op7_benchmark_decontamination
 from factloom.llm.language_id import op4_language_id
 from factloom.llm.licenses import op9_license_scan
+from factloom.llm.personal_data import op2_personal_data
 from factloom.llm.packing import op6_best_fit_packing
 from factloom.llm.shard import op10_sharding
 from factloom.llm.simhash_dedup import op3_simhash_dedup
+from factloom.llm.topk_search import SQL as OP1_SQL
+from factloom.llm.topk_search import op1_topk_search
 from factloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op2_personal_data": op2_personal_data,
     "op4_language_id": op4_language_id,
     "op8_toxicity": op8_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -21,5 +26,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }
