@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.llm.context_mixing import op5_lm_scoring
 from factloom.llm.decontaminate import SQL as OP7_SQL
 from factloom.llm.decontaminate import op7_benchmark_decontamination
 from factloom.llm.language_id import op4_language_id
@@ -15,6 +16,7 @@ from factloom.llm.topk_search import op1_topk_search
 from factloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op5_lm_scoring": op5_lm_scoring,
     "op1_topk_search": op1_topk_search,
     "op2_personal_data": op2_personal_data,
     "op4_language_id": op4_language_id,
