@@ -28,7 +28,7 @@ SEED = 11
 #: Trigrams whose vectors a task keeps; beyond it, it starts anew.
 KEPT_TRIGRAMS = 40_000
 #: The pipeline rejects documents without a language, and those whose letters look like none that was learned.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.02
 UNKNOWN = "und"
 
 
