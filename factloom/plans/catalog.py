@@ -1,5 +1,448 @@
 """All registered queries of the engine, by name, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import text as T
+from factloom.functions import values as V
+from factloom.functions.fuzzy import token_set_ratio
+from factloom.functions.locate import locate
+from factloom.operators import extract as X
+from factloom.operators import link as L
+from factloom.operators import serve as S
+from factloom.operators import store as O
+from factloom.plans import derived as D
+from factloom.sources import pages as P
+
 FLAGSHIP = "link_verdicts"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# ---------------------------------------------------------------- numbers, units, periods
+
+_NUMBER = r"""(SELECT k, CASE WHEN f = '' THEN NULL WHEN p THEN -abs(CAST(f AS DOUBLE)) ELSE CAST(f AS DOUBLE) END AS value, p, f FROM (SELECT k, p, regexp_extract(replace(CASE WHEN p THEN s[2:len(s) - 1] ELSE s END, ',', ''), '-?\d+(?:\.\d+)?') AS f FROM (SELECT k, trim(raw) AS s, starts_with(trim(raw), '(') AND ends_with(trim(raw), ')') AS p FROM w) x) y)"""
+
+
+@query("parse_number", f"WITH w AS ({D.WRITTEN}) SELECT k, value, array_to_string(list_filter([CASE WHEN p THEN 'paren-negative' END, CASE WHEN f = '' THEN 'unparseable-number' END], lambda x: x IS NOT NULL), ',') AS flags FROM {_NUMBER}")
+def parse_number(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, D.WRITTEN).withColumn("n", V.parse_number(F.col("raw")))
+    return rows.select("k", "n.value", F.array_join("n.flags", ",").alias("flags"))
+
+
+_UNIT = r"""(SELECT k, raw, said, CASE WHEN u = '' THEN CASE WHEN money AND contains(h, 'cr') THEN 'inr-cr' WHEN money AND contains(h, 'lakh') THEN 'inr-lakh' WHEN money AND mn THEN cur || '-mn' WHEN money AND bn THEN cur || '-bn' WHEN money THEN cur ELSE 'qty' END
+ WHEN u IN ('cr', 'crs') THEN 'inr-cr' WHEN u IN ('crore', 'crores') THEN 'cr' WHEN u IN ('lakh', 'lakhs') THEN 'inr-lakh' WHEN u = '%' THEN '%' WHEN u IN ('percent', 'per cent') THEN 'percent' WHEN u IN ('tons', 'tonnes', 't') THEN 'tons'
+ WHEN u IN ('mn', 'million') THEN CASE WHEN ship THEN 'mn-shipments' WHEN ton THEN 'mn-tons' WHEN money AND NOT noun THEN cur || '-mn' ELSE u END
+ WHEN u IN ('bn', 'billion') THEN CASE WHEN ship THEN 'bn-shipments' WHEN ton THEN 'bn' WHEN money AND NOT noun THEN cur || '-bn' ELSE u END
+ WHEN regexp_full_match(u, '(mn|million)\s+shipments?') THEN 'mn-shipments' WHEN regexp_full_match(u, '(bn|billion)\s+shipments?') THEN 'bn-shipments' WHEN regexp_full_match(u, '(mn|million|bn|billion)\s+tons?') THEN 'mn-tons' ELSE u END AS unit_norm
+ FROM (SELECT *, CASE WHEN usd THEN 'usd' ELSE 'inr' END AS cur, usd OR regexp_matches(h, '₹|rs|inr') AS money FROM (SELECT *, lower(unit) AS u, lower(hint) AS h, regexp_matches(lower(hint), '\$|usd|dollar') AS usd, regexp_matches(lower(hint), '\bmn\b|\bmil\b|million') AS mn, regexp_matches(lower(hint), '\bbn\b|billion') AS bn, contains(lower(hint), 'shipment') AS ship, regexp_matches(lower(hint), '\btons?\b|\btonnes?\b') AS ton, regexp_matches(lower(hint), 'shipment|ton|employee|people|branch|order|parcel') AS noun FROM w) x) y)"""
+
+
+@query("canonical_unit", f"WITH w AS ({D.WRITTEN}) SELECT k, unit_norm FROM {_UNIT}")
+def canonical_unit(spark, sf_dir):
+    return D.sql(spark, sf_dir, D.WRITTEN).select("k", V.canonical_unit(F.col("unit"), F.col("hint")).alias("unit_norm"))
+
+
+_BASE = "CASE WHEN unit_norm IN ('inr-cr', 'cr') THEN 10000000 WHEN unit_norm = 'inr-lakh' THEN 100000 WHEN unit_norm IN ('inr-mn', 'usd-mn', 'mn', 'million', 'mn-tons', 'mn-shipments') THEN 1000000 WHEN unit_norm IN ('inr-bn', 'usd-bn', 'bn', 'billion', 'bn-shipments') THEN 1000000000 WHEN unit_norm IN ('inr', 'usd', 'qty', 'tons', '%', 'percent') THEN 1 END"
+
+
+@query("to_base", f"WITH w AS ({D.WRITTEN}) SELECT u.k, n.value * ({_BASE})::DOUBLE AS value_norm FROM {_UNIT} u JOIN {_NUMBER} n ON u.k = n.k")
+def to_base(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, D.WRITTEN)
+    return rows.select("k", V.to_base(V.parse_number(F.col("raw"))["value"], V.canonical_unit(F.col("unit"), F.col("hint"))).alias("value_norm"))
+
+
+_FY = "CASE WHEN len({0}) = 4 THEN {0} WHEN CAST({0} AS INT) < 50 THEN '20' || lpad({0}, 2, '0') ELSE '19' || lpad({0}, 2, '0') END"
+_PERIOD = rf"""(SELECT k, said, CASE WHEN regexp_matches(said, '(?i)\bQ[1-4]\s*FY\s?\d{{2,4}}\b') THEN 'Q' || regexp_extract(said, '(?i)\bQ([1-4])\s*FY', 1) || '-FY' || {_FY.format(r"regexp_extract(said, '(?i)\bQ[1-4]\s*FY\s?(\d{2,4})\b', 1)")}
+ WHEN regexp_matches(said, '(?i)\bFY\s?\d{{4}}\s*[-–]\s*\d{{2,4}}\b') THEN 'FY' || {_FY.format(r"regexp_extract(said, '(?i)\bFY\s?\d{4}\s*[-–]\s*(\d{2,4})\b', 1)")}
+ WHEN regexp_matches(said, '(?i)\bFY\s?\d{{2,4}}\b') THEN 'FY' || {_FY.format(r"regexp_extract(said, '(?i)\bFY\s?(\d{2,4})\b', 1)")}
+ WHEN regexp_matches(said, '(?i)\bFiscal\s?20\d{{2}}\b') THEN 'FY' || regexp_extract(said, '(20\d{{2}})', 1) WHEN regexp_matches(said, '(?i)nine months ended') THEN '9M-' || regexp_extract(said, '(20\d{{2}})', 1)
+ WHEN regexp_matches(said, '(?i)year ended') THEN 'FY' || regexp_extract(said, '20(\d{{2}})', 1) || '-ish' ELSE '' END AS period FROM w)"""
+
+
+@query("canonical_period", f"WITH w AS ({D.WRITTEN}) SELECT k, period, CASE WHEN said = 'FY2023-24' THEN 'fy-range' WHEN said LIKE 'Fiscal%' THEN 'fiscal-year' WHEN said LIKE 'nine%' THEN 'nine-months' WHEN said LIKE 'year ended%' THEN 'year-ended-approx' WHEN period = '' THEN 'no-period' ELSE '' END AS flags FROM {_PERIOD}")
+def canonical_period(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, D.WRITTEN).withColumn("p", V.canonical_period(F.col("said")))
+    return rows.select("k", "p.period", F.array_join("p.flags", ",").alias("flags"))
+
+
+@query("normalize_value")
+def normalize_value(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, D.WRITTEN).withColumn("v", V.normalize_value(F.col("raw"), F.col("unit"), F.concat_ws(" ", "hint", "said")))
+    return rows.select("k", "v.value_norm", "v.unit_norm", "v.period", F.array_join("v.flags", ",").alias("flags"))
+
+
+@query("comparable_units", f"WITH w AS ({D.WRITTEN}), u AS (SELECT DISTINCT unit_norm FROM {_UNIT}), f AS (SELECT unit_norm, CASE WHEN unit_norm IN ('usd', 'usd-mn', 'usd-bn') THEN 'money-usd' WHEN unit_norm IN ('inr', 'cr', 'inr-cr', 'inr-lakh', 'inr-mn', 'inr-bn') THEN 'money-inr' WHEN unit_norm IN ('mn', 'million', 'bn', 'billion') THEN 'qty-scale' WHEN unit_norm IN ('tons', 'mn-tons') THEN 'mass' WHEN unit_norm IN ('mn-shipments', 'bn-shipments') THEN 'count' WHEN unit_norm IN ('%', 'percent') THEN 'pct' WHEN unit_norm = 'qty' THEN 'qty' END AS f FROM u) SELECT a.unit_norm AS a, b.unit_norm AS b, coalesce(a.f, a.unit_norm) = coalesce(b.f, b.unit_norm) AS same, coalesce(a.f <> b.f, false) AS vetoed FROM f a JOIN f b ON a.unit_norm < b.unit_norm")
+def comparable_units(spark, sf_dir):
+    units = D.sql(spark, sf_dir, D.WRITTEN).select(V.canonical_unit(F.col("unit"), F.col("hint")).alias("u")).distinct()
+    pairs = units.withColumnRenamed("u", "a").join(units.withColumnRenamed("u", "b"), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", V.same_dimension(F.col("a"), F.col("b")).alias("same"), V.cross_dimension(F.col("a"), F.col("b")).alias("vetoed"))
+
+
+# ---------------------------------------------------------------- text
+
+_DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)</?(?:sup|sub|br|b|i|em|strong|span|div)[^>]*>', ' ', 'g'), '\*\*|__|\*|_|`|#{{1,6}}\s?', '', 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("clean_text", f"SELECT page_id, {_CLEAN.format('html')} AS cleaned FROM pages")
+def clean_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.clean(F.col("html")).alias("cleaned"))
+
+
+@query("sentence_split", f"SELECT doc_id, len(s)::INTEGER AS n, sha256(array_to_string(s, '|')) AS sha FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM ({_DOCS}))")
+def sentence_split(spark, sf_dir):
+    return D.sql(spark, sf_dir, _DOCS).select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "|").cast("binary"), 256).alias("sha"))
+
+
+_NAMES = "SELECT p_partkey AS k, p_name || ' ' || p_type || ' FY24 and the ' || p_brand || ' growth in crore' AS attribute FROM part"
+_STOP = "'the','and','for','from','with','was','are','that','this','these','those','which','such','than','then','also','into','over','about'"
+_ANCHOR = rf"array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(attribute), '\b(?:fy\d{{0,4}}|q[1-4]|yoy|qoq|cr|crs|crore?s?|lakhs?|mn|bn|million|billion|rs|inr|usd|per|cent|percent)\b|[₹$%]', ' ', 'g'), '[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP})), ' ')"
+
+
+@query("topic_anchor", f"SELECT k, {_ANCHOR} AS anchor FROM ({_NAMES})")
+def topic_anchor(spark, sf_dir):
+    return D.sql(spark, sf_dir, _NAMES).select("k", T.topic_anchor(F.col("attribute")).alias("anchor"))
+
+
+_ATTRIBUTE_STOP = ",".join(f"'{w}'" for w in T.ATTRIBUTE_STOP)
+_ATTRIBUTE = rf"list_filter(regexp_extract_all(regexp_replace({_CLEAN.format("regexp_replace(text, '[₹$].*', '', 'g')")}, '(?i)\b(?:FY\d{{2,4}}|Q[1-4]\s*FY\d{{2,4}}|20\d{{2}})\b', ' ', 'g'), '[A-Za-z][A-Za-z&\-'']+'), lambda x: lower(x) NOT IN ({_ATTRIBUTE_STOP}))"
+
+
+@query("attribute_of", f"WITH figures AS ({D.NATIONS}) SELECT key, y, array_to_string(({_ATTRIBUTE})[1:6], ' ') AS attribute FROM ({D.SENTENCES})")
+def attribute_of(spark, sf_dir):
+    return D.sql(spark, sf_dir, D.with_figures(D.NATIONS, D.SENTENCES)).select("key", "y", T.attribute_of(F.col("text")).alias("attribute"))
+
+
+@query("scope_of", rf"WITH figures AS ({D.NATIONS}) SELECT key, y, array_to_string(list_filter([lower(regexp_extract(text, '(?i)adjust(?:ed|ment)')), lower(regexp_extract(text, '(?i)consolidat(?:ed|ion)')), lower(regexp_extract(text, '(?i)\btotal\b'))], lambda x: x <> ''), '; ') AS scope FROM ({D.SENTENCES})")
+def scope_of(spark, sf_dir):
+    return D.sql(spark, sf_dir, D.with_figures(D.NATIONS, D.SENTENCES)).select("key", "y", T.scope_of(F.col("text")).alias("scope"))
+
+
+_SUBJECT = r"trim(regexp_extract(text, '\b([A-Z][A-Za-z&.,''’\-]+(?:\s+(?:of\s+)?[A-Z][A-Za-z&.,''’\-]+){0,3})\s+(Limited|Ltd\.?|Inc\.?|Bank|Corporation|Group|Fund|Ministry|Board|Authority|Organisation|Organization|Agency|Department|Survey|Office|Commission)\b'))"
+
+
+@query("subject_of", f"WITH figures AS ({D.NATIONS}) SELECT key, y, CASE WHEN {_SUBJECT} <> '' THEN {_SUBJECT} ELSE 'document' END AS subject FROM ({D.SENTENCES})")
+def subject_of(spark, sf_dir):
+    return D.sql(spark, sf_dir, D.with_figures(D.NATIONS, D.SENTENCES)).select("key", "y", T.subject_of(F.col("text"), F.lit("")).alias("subject"))
+
+
+@query("content_vintage", r"SELECT o_orderkey, coalesce(list_max(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9.,])((?:19\d{2}|20[0-3]\d))(?:[^0-9]|$)', 1), lambda x: CAST(x AS INT)), lambda x: x BETWEEN 1990 AND 2030)), 7) AS vintage FROM (SELECT o_orderkey, 'Filed ' || CAST(1980 + o_orderkey % 60 AS VARCHAR) || ', after 3.' || CAST(2000 + o_orderkey % 9 AS VARCHAR) || ' and ' || CAST(1990 + o_orderkey % 30 AS VARCHAR) AS text FROM orders)")
+def content_vintage(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, "SELECT o_orderkey, 'Filed ' || CAST(1980 + o_orderkey % 60 AS STRING) || ', after 3.' || CAST(2000 + o_orderkey % 9 AS STRING) || ' and ' || CAST(1990 + o_orderkey % 30 AS STRING) AS text FROM orders")
+    return rows.select("o_orderkey", T.vintage(F.array_max(T.content_years(F.col("text"))), F.lit("report"), 7).alias("vintage"))
+
+
+@query("modality_hints", r"SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '|') AND contains(html, '---') THEN 'table' END, CASE WHEN regexp_matches(html, '(?i)\b(?:chart|margin|YoY|QoQ|legend)\b') THEN 'chart' END], lambda x: x IS NOT NULL), ',') AS hints FROM pages")
+def modality_hints(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(T.modality_hints(F.col("html")), ",").alias("hints"))
+
+
+_FOLIO = "SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || CAST(doc_id % 2000 AS STRING) || chr(10) ELSE '' END AS md FROM documents"
+
+
+@query("folio_label", rf"SELECT doc_id, CASE WHEN f <> '' THEN f ELSE '?' END AS label FROM (SELECT doc_id, regexp_extract(md, '(?:^|[\n\r])[ \t]*(\d{{1,4}})\s*$', 1) AS f FROM ({_FOLIO}))")
+def folio_label(spark, sf_dir):
+    return D.sql(spark, sf_dir, _FOLIO).select("doc_id", T.folio_label(F.col("md")).alias("label"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text)[1:16] AS sha FROM documents WHERE text IS NOT NULL")
+def content_hash(spark, sf_dir):
+    return _documents(spark, sf_dir).where("text is not null").select("doc_id", T.content_hash(F.col("text").cast("binary")).alias("sha"))
+
+
+@query("page_ranges", "SELECT DISTINCT a, b, unnest(list_concat([a], range(b, b + 3))) AS page FROM (SELECT CAST(o_orderkey % 5 AS INTEGER) AS a, CAST(6 + o_orderkey % 3 AS INTEGER) AS b FROM orders)")
+def page_ranges(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, "SELECT DISTINCT CAST(o_orderkey % 5 AS INT) AS a, CAST(6 + o_orderkey % 3 AS INT) AS b FROM orders")
+    spec = F.concat(F.col("a").cast("string"), F.lit(", "), F.col("b").cast("string"), F.lit("-"), (F.col("b") + 2).cast("string"))
+    return rows.select("a", "b", F.explode(T.page_numbers(spec, F.lit(9)).cast("array<bigint>")).alias("page"))
+
+
+# ---------------------------------------------------------------- pages and chunks
+
+_BLOBS = "SELECT CAST(doc_id % 50 AS STRING) AS doc, min(coalesce(text, '')) || chr(10) || '== PAGE 4 ==' || chr(10) || max(coalesce(text, '')) || chr(10) || '== PAGE xi ==' || chr(10) || ' ' AS blob FROM documents GROUP BY 1"
+
+
+@query("page_split", rf"SELECT doc, CAST(i - 1 AS INTEGER) AS page_index, CASE WHEN i = 1 THEN CASE WHEN regexp_matches(b, '(?:^|[\n\r])[ \t]*\d{{1,4}}\s*$') THEN regexp_extract(b, '(\d{{1,4}})\s*$', 1) ELSE '?' END WHEN i = 2 THEN '4' ELSE 'xi' END AS page_label, sha256(trim(b, ' ' || chr(9) || chr(10) || chr(13))) AS sha FROM (SELECT doc, p[i] AS b, i FROM (SELECT doc, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc, string_split_regex(blob, '\n== PAGE \S+ ==\n?') AS p FROM ({_BLOBS})))) WHERE trim(b, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def page_split(spark, sf_dir):
+    pages = P.split_pages(D.sql(spark, sf_dir, _BLOBS))
+    return pages.select("doc", "page_index", "page_label", F.sha2(F.col("markdown").cast("binary"), 256).alias("sha"))
+
+
+@query("chunk_pages")
+def chunk_pages(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc"), F.lit(0).alias("page_index"), F.lit("1").alias("page_label"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("markdown"), F.array().cast("array<string>").alias("modality_hints"))
+    return P.chunk_pages(docs).select("doc", F.col("chunk_ord.__i").alias("n"), F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("grounding", "SELECT doc_id, CASE WHEN q = '' OR NOT contains(text, q) THEN 'quote not found verbatim in source chunk' END AS reason FROM (SELECT doc_id, text, substring(text, 5, 40) || CASE WHEN doc_id % 4 = 0 THEN '#' ELSE '' END AS q FROM documents WHERE text IS NOT NULL)")
+def grounding(spark, sf_dir):
+    rows = _documents(spark, sf_dir).where("text is not null").select("doc_id", "text", F.concat(F.substring("text", 5, 40), F.when(F.col("doc_id") % 4 == 0, F.lit("#")).otherwise(F.lit(""))).alias("quote"))
+    rows = rows.withColumns({"fact_type": F.lit("semantic"), "value_norm": F.lit(None).cast("double"), "flags": F.array().cast("array<string>")})
+    return X.grounded(rows).select("doc_id", F.col("__reason").alias("reason"))
+
+
+@query("locate_verbatim")
+def locate_verbatim(spark, sf_dir):
+    rows = _documents(spark, sf_dir).where("text is not null")
+    quote = F.regexp_replace(F.substring("text", 3, 60), r"\s+", "  ")
+    return rows.select("doc_id", locate(quote, F.col("text")).alias("span"))
+
+
+# ---------------------------------------------------------------- facts
+
+
+def _chunks(spark, sf_dir, figures=D.NATIONS):
+    rows = D.sql(spark, sf_dir, D.with_figures(figures, D.SENTENCES))
+    return rows.select("doc", "page_index", F.lit("1").alias("page_label"), F.struct("page_index", "key", "y").alias("chunk_ord"), "text", F.array().cast("array<string>").alias("modality_hints"), F.col("text").alias("page_text"))
+
+
+@query("entity_vote", rf"WITH figures AS ({D.NATIONS}), c AS (SELECT doc, text, row_number() OVER (PARTITION BY doc ORDER BY page_index, key, y) AS k FROM ({D.SENTENCES})), n AS (SELECT doc, k, CASE WHEN k = 1 THEN 5 WHEN k <= 3 THEN 3 ELSE 1 END AS w, {_SUBJECT} AS name FROM c WHERE k <= 40), v AS (SELECT doc, name, sum(w) AS w, min(k) AS f FROM n WHERE name <> '' GROUP BY ALL) SELECT d.doc, coalesce(arg_max(name, w * 1000 - f), '') AS entity FROM (SELECT DISTINCT doc FROM c) d LEFT JOIN v ON d.doc = v.doc GROUP BY d.doc")
+def entity_vote(spark, sf_dir):
+    return X.document_entities(_chunks(spark, sf_dir))
+
+
+@query("extract_facts")
+def extract_facts(spark, sf_dir):
+    """Facts of the texts: what each kind of sentence gives is held against hand-worked cases in the tests."""
+    facts, _ = X.facts_of(_chunks(spark, sf_dir))
+    return facts.select("fact_id", "doc", "subject", "attribute", "value_raw", "value_norm", "unit_norm", "period", "scope", "fact_type", "confidence", F.array_join("flags", ",").alias("flags"))
+
+
+@query("extracted_money", f"WITH figures AS ({D.CUSTOMERS}) SELECT DISTINCT doc, CAST(raw AS VARCHAR) AS value_raw, CAST(cents AS DOUBLE) / 100 * 10000000.0 AS value_norm, 'FY' || CAST(y AS VARCHAR) AS period FROM (SELECT s.doc, s.y, s.cents, CAST(CAST(floor(cents / 100.0) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS raw, key FROM ({D.SENTENCES}) s) WHERE key % 5 = 0")
+def extracted_money(spark, sf_dir):
+    """Amounts read out of sentences, exact to the last digit."""
+    facts = X.extract(_chunks(spark, sf_dir, D.CUSTOMERS).withColumn("entity", F.lit("")))
+    money = facts.where((F.col("fact_type") == "numeric") & (F.col("unit_norm") == "inr-cr"))
+    return money.select("doc", F.regexp_extract("value_raw", r"[\d.]+", 0).alias("value_raw"), "value_norm", "period").distinct()
+
+
+@query("questions_raised", f"SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN fact_type = 'numeric' AND y % 4 = 0 THEN 'ambiguous-period' END, CASE WHEN modality = 'chart' THEN 'chart-sourced-provisional' END], lambda x: x IS NOT NULL)) AS kind FROM ({D.with_figures(D.CUSTOMERS)})) GROUP BY kind")
+def questions_raised(spark, sf_dir):
+    return X.questions_of(D.facts(spark, sf_dir, D.CUSTOMERS)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("dedupe_greedy")
+def dedupe_greedy(spark, sf_dir):
+    rows = D.facts(spark, sf_dir, D.CUSTOMERS).withColumns({"value_raw": F.substring("value_raw", 1, 2), "value_norm": F.floor(F.col("value_norm") / 1e7)})
+    return X.deduplicated(rows, ["seq"]).select("fact_id", "doc", "page_index")
+
+
+@query("fact_numbering", f"SELECT seq, regexp_replace(doc, '\\W+', '_', 'g') || '-' || lpad(CAST(page_index AS VARCHAR), 3, '0') || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc ORDER BY seq) AS VARCHAR), 4, '0') AS fact_id FROM ({D.with_figures(D.NATIONS)})")
+def fact_numbering(spark, sf_dir):
+    return X.numbered(D.facts(spark, sf_dir), ["seq"]).select("seq", "fact_id")
+
+
+@query("attribute_registry", f"SELECT attribute, arg_min(doc, seq) AS first_seen, count(*) AS count FROM ({D.with_figures(D.CUSTOMERS)}) GROUP BY attribute")
+def attribute_registry(spark, sf_dir):
+    return O.registry(D.facts(spark, sf_dir, D.CUSTOMERS))
+
+
+# ---------------------------------------------------------------- links
+
+
+
+def _linked(figures: str) -> str:
+    """Pairs x of facts on one topic, and their verdicts y, as SQL."""
+    sides = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("seq", "fact_id", "doc", "attribute", "value_raw", "value_norm", "unit_norm", "period", "scope", "fact_type", "quote", "topic", "vintage", "confidence", "modality", "subject"))
+    return f"""WITH f AS ({D.with_figures(figures)}), t AS (SELECT *, list_sort(string_split(attribute, ' ')) AS topic, CASE WHEN unit_norm LIKE 'inr%' THEN 'm' ELSE unit_norm END AS dim, CAST(right(doc, 4) AS INT) AS vintage FROM f),
+x AS (SELECT {sides}, len(list_intersect(a.topic, b.topic)) AS shared, abs(a.value_norm - b.value_norm) / greatest(abs(a.value_norm), abs(b.value_norm), 1e-9) <= 0.02 AS near,
+ CASE WHEN a.period <> b.period THEN 'time' WHEN a.scope <> b.scope THEN 'scope' WHEN a.unit_norm <> b.unit_norm THEN 'units' END AS differs
+ FROM t a JOIN t b ON a.subject = b.subject AND a.seq < b.seq AND a.doc <> b.doc AND (a.fact_type <> 'numeric' OR b.fact_type <> 'numeric' OR a.dim = b.dim) WHERE len(list_intersect(a.topic, b.topic)) > 0),
+y AS (SELECT *, CASE WHEN a_fact_type <> b_fact_type THEN CASE WHEN contains(regexp_replace(CASE WHEN a_fact_type = 'numeric' THEN b_value_raw || b_quote ELSE a_value_raw || a_quote END, '\\D', '', 'g'), regexp_replace(CASE WHEN a_fact_type = 'numeric' THEN a_value_raw ELSE b_value_raw END, '\\D', '', 'g')) THEN 'cites' END
+ WHEN a_fact_type = 'semantic' THEN 'claims' WHEN differs IS NOT NULL THEN CASE WHEN near THEN 'close' ELSE 'apart' END WHEN near THEN 'same' WHEN a_topic = b_topic THEN CASE WHEN a_vintage <> b_vintage THEN 'newer' ELSE 'conflict' END END AS says FROM x),
+z AS (SELECT CASE WHEN says IN ('cites', 'claims', 'close', 'same') THEN 'corroborates' WHEN says = 'apart' THEN 'reconciled' WHEN says = 'newer' THEN 'superseded-by' ELSE 'contradicts' END AS relation, CASE WHEN says IN ('close', 'apart') THEN differs WHEN says = 'newer' THEN 'vintage' END AS axis,
+ CASE WHEN says = 'newer' AND a_vintage > b_vintage THEN b_fact_id ELSE a_fact_id END AS fact_a, CASE WHEN says = 'newer' AND a_vintage > b_vintage THEN a_fact_id ELSE b_fact_id END AS fact_b, CAST(CASE says WHEN 'cites' THEN 0.6 WHEN 'claims' THEN 0.5 WHEN 'close' THEN 0.75 WHEN 'apart' THEN 0.7 WHEN 'same' THEN 0.85 WHEN 'newer' THEN 0.75 ELSE 0.7 END AS DOUBLE) AS confidence, true AS verified, y.* FROM y WHERE says IS NOT NULL)
+"""
+
+
+def _relations(spark, sf_dir, figures=D.NATIONS):
+    facts = D.facts(spark, sf_dir, figures)
+    return L.relate(facts, D.documents(facts), subject_match="exact"), facts
+
+
+_NATION_LINKS, _CUSTOMER_LINKS = _linked(D.NATIONS), _linked(D.CUSTOMERS)
+
+
+@query("link_verdicts", f"{_NATION_LINKS} SELECT relation, axis, count(*) AS n, round(sum(confidence), 4) AS confidence FROM z GROUP BY relation, axis")
+def link_verdicts(spark, sf_dir):
+    relations, _ = _relations(spark, sf_dir)
+    return relations.groupBy("relation", "axis").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+@query("link_relations", f"{_NATION_LINKS} SELECT relation, axis, fact_a, fact_b, confidence, verified FROM z")
+def link_relations(spark, sf_dir):
+    return _relations(spark, sf_dir)[0].select("relation", "axis", "fact_a", "fact_b", "confidence", "verified")
+
+
+@query("link_customers", f"{_CUSTOMER_LINKS} SELECT relation, axis, count(*) AS n FROM z GROUP BY relation, axis")
+def link_customers(spark, sf_dir):
+    return _relations(spark, sf_dir, D.CUSTOMERS)[0].groupBy("relation", "axis").agg(F.count("*").alias("n"))
+
+
+@query("link_supersession", f"{_NATION_LINKS} SELECT fact_a, fact_b FROM z WHERE relation = 'superseded-by'")
+def link_supersession(spark, sf_dir):
+    return _relations(spark, sf_dir)[0].where("relation = 'superseded-by'").select("fact_a", "fact_b")
+
+
+@query("link_explanations", f"""{_NATION_LINKS} SELECT fact_a, fact_b, 'Same period and scope but different values: ''' || a_attribute || ''' is ' || a_value_raw || ' (' || a_period || ', ' || a_unit_norm || ' [' || a_doc || ' p.' || CAST(CAST(substring(a_period, 3) AS INT) % 7 + 1 AS VARCHAR) || ']) vs ' || b_value_raw || ' (' || b_period || ', ' || b_unit_norm || ' [' || b_doc || ' p.' || CAST(CAST(substring(b_period, 3) AS INT) % 7 + 1 AS VARCHAR) || '])' AS explanation FROM z WHERE relation = 'contradicts'""")
+def link_explanations(spark, sf_dir):
+    return _relations(spark, sf_dir)[0].where("relation = 'contradicts'").select("fact_a", "fact_b", "explanation")
+
+
+@query("link_token_block", f"WITH a AS (SELECT DISTINCT {_ANCHOR} AS anchor FROM ({_NAMES})), w AS (SELECT DISTINCT anchor, unnest(string_split(anchor, ' ')) AS w FROM a) SELECT x.anchor AS x, y.anchor AS y, count(*)::INTEGER AS shared FROM w x JOIN w y ON x.w = y.w GROUP BY 1, 2 HAVING count(*) >= 4 AND x.anchor < y.anchor")
+def link_token_block(spark, sf_dir):
+    names = D.sql(spark, sf_dir, _NAMES).select(T.topic_anchor(F.col("attribute")).alias("anchor"))
+    pairs = L.topic_pairs(names.withColumn("topic", T.topic_set(F.col("anchor"))), fuzzy=False)
+    return pairs.where("shared >= 4 and x < y")
+
+
+@query("link_topk_candidates", f"{_CUSTOMER_LINKS} SELECT a_fact_id, b_fact_id, score FROM (SELECT a_seq, b_seq, a_fact_id, b_fact_id, CAST(shared + CASE WHEN a_period = b_period THEN 2 ELSE 0 END + CASE WHEN a_scope <> '' AND a_scope = b_scope THEN 1 ELSE 0 END + CASE WHEN a_unit_norm <> '' AND a_unit_norm = b_unit_norm THEN 1 ELSE 0 END + CASE WHEN near THEN 1.5 ELSE 0 END AS DOUBLE) AS score FROM y WHERE says IS NULL) ORDER BY score DESC, a_seq, b_seq LIMIT 80")
+def link_topk_candidates(spark, sf_dir):
+    facts = D.facts(spark, sf_dir, D.CUSTOMERS)
+    pairs = L.same_topic(facts, "exact").withColumn("v", L.verdict())
+    return L.judge_candidates(pairs).select("a_fact_id", "b_fact_id", "score")
+
+
+@query("link_fuzzy")
+def link_fuzzy(spark, sf_dir):
+    """Linking with the fuzzy comparison of subjects and topics, of one year's facts."""
+    facts = D.facts(spark, sf_dir).where("y = 1997")
+    relations = L.relate(facts, D.documents(facts), subject_match="fuzzy")
+    return relations.groupBy("relation", "axis").agg(F.count("*").alias("n"))
+
+
+@query("link_judged")
+def link_judged(spark, sf_dir):
+    """With a judge that finds everything reconciled: as many more relations as the budget allows."""
+    facts = D.facts(spark, sf_dir)
+    judge = lambda a, b: {"relation": "reconciled", "axis": "scope", "confidence": 0.6, "explanation": "said so"}
+    relations = L.relate(facts, D.documents(facts), subject_match="exact", judge=judge)
+    return relations.groupBy("relation", "axis").agg(F.count("*").alias("n"))
+
+
+@query("fuzzy_pairs")
+def fuzzy_pairs(spark, sf_dir):
+    names = D.sql(spark, sf_dir, "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+    pairs = names.withColumnRenamed("name", "a").join(names.withColumnRenamed("name", "b"), F.col("a") < F.col("b"))
+    return pairs.withColumn("score", F.round(token_set_ratio("a", "b"), 6)).where("score >= 60")
+
+
+# ---------------------------------------------------------------- reads
+
+
+@query("facts_search", f"SELECT fact_id FROM (SELECT * FROM ({D.with_figures(D.CUSTOMERS)}) WHERE contains(lower(subject || attribute || value_raw || period), 'revenue1') AND doc = 'annual-2001' ORDER BY seq LIMIT 500)")
+def facts_search(spark, sf_dir):
+    return S.search(D.facts(spark, sf_dir, D.CUSTOMERS), "Revenue1", "annual-2001").select("fact_id")
+
+
+@query("facts_filtered", f"SELECT fact_id FROM ({D.with_figures(D.CUSTOMERS)}) WHERE fact_type = 'semantic' AND y % 4 <> 0 AND modality <> 'chart'")
+def facts_filtered(spark, sf_dir):
+    return S.filtered(D.facts(spark, sf_dir, D.CUSTOMERS), "semantic", False).select("fact_id")
+
+
+@query("relations_by_type", f"{_NATION_LINKS} SELECT relation, fact_a, fact_b, a.subject AS a_subject, b.value_raw AS b_value_raw FROM z JOIN t a ON a.fact_id = z.fact_a JOIN t b ON b.fact_id = z.fact_b WHERE relation = 'contradicts'")
+def relations_by_type(spark, sf_dir):
+    relations, facts = _relations(spark, sf_dir)
+    return S.with_facts(S.relations_of(relations, "contradicts"), facts, ["subject", "value_raw"]).select("relation", "fact_a", "fact_b", "a_subject", "b_value_raw")
+
+
+@query("timeline", f"SELECT fact_id, period, doc FROM ({D.with_figures(D.CUSTOMERS)}) ORDER BY period, doc, seq LIMIT 1000")
+def timeline(spark, sf_dir):
+    return S.timeline(D.facts(spark, sf_dir, D.CUSTOMERS)).select("fact_id", "period", "doc")
+
+
+@query("timeline_groups", f"SELECT fact_id, period, nth FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY seq)::INTEGER AS nth FROM ({D.with_figures(D.CUSTOMERS)})) WHERE nth <= 60")
+def timeline_groups(spark, sf_dir):
+    return S.per_group(D.facts(spark, sf_dir, D.CUSTOMERS), "period", 60, ["seq"]).select("fact_id", "period", "nth")
+
+
+@query("best_cases", f"""{_NATION_LINKS}, q AS (SELECT relation, fact_a, fact_b, confidence, round(CASE WHEN (CASE WHEN a_unit_norm LIKE 'inr%' THEN 'm' ELSE a_unit_norm END) <> (CASE WHEN b_unit_norm LIKE 'inr%' THEN 'm' ELSE b_unit_norm END) OR len(list_filter(list_intersect(a_topic, b_topic), lambda w: w <> 'total')) = 0 THEN -1
+ ELSE CASE WHEN lower(a_subject) = b_subject THEN 3 ELSE 0 END + CASE WHEN a_unit_norm = b_unit_norm AND a_unit_norm <> '' THEN 2 ELSE 0 END + CASE WHEN a_period = b_period THEN 1 ELSE 0 END + shared::DOUBLE / len(list_distinct(list_concat(a_topic, b_topic))) + 0.065 - CASE WHEN a_modality = 'chart' THEN 0.15 ELSE 0 END - CASE WHEN b_modality = 'chart' THEN 0.15 ELSE 0 END + 0.05 END, 6) AS quality FROM z WHERE relation <> 'superseded-by')
+SELECT relation, fact_a, fact_b, quality FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY quality DESC, confidence DESC, fact_a, fact_b) AS nth FROM q) WHERE nth = 1""")
+def best_cases(spark, sf_dir):
+    return S.best_cases(*_relations(spark, sf_dir)).select("relation", "fact_a", "fact_b", "quality")
+
+
+_QUESTIONS = f"SELECT seq AS id, CASE WHEN y % 5 = 0 THEN 'chart-sourced-provisional' WHEN y % 4 = 0 THEN 'ambiguous-period' WHEN y % 7 = 3 AND doc = 'sibling-2001' THEN 'link-error' ELSE 'extract-note' END AS kind, attribute AS detail, fact_id, doc FROM ({D.with_figures(D.CUSTOMERS)})"
+
+
+@query("first_failure", f"SELECT id, kind, detail FROM ({_QUESTIONS}) ORDER BY CASE kind WHEN 'link-error' THEN 1 WHEN 'chart-sourced-provisional' THEN 2 WHEN 'ambiguous-period' THEN 3 ELSE 9 END, id LIMIT 1")
+def first_failure(spark, sf_dir):
+    return S.first_failure(D.sql(spark, sf_dir, _QUESTIONS)).select("id", "kind", "detail")
+
+
+@query("question_page", f"SELECT id, kind FROM ({_QUESTIONS}) ORDER BY id LIMIT 300")
+def question_page(spark, sf_dir):
+    return S.question_page(D.sql(spark, sf_dir, _QUESTIONS)).select("id", "kind")
+
+
+@query("export_facts", f"SELECT fact_id, doc, page_index, page_label, subject, attribute, value_raw, value_norm, unit_norm, period, scope, CAST(confidence AS DOUBLE) AS confidence, substring(quote, 1, 300) AS quote FROM ({D.with_figures(D.CUSTOMERS)})")
+def export_facts(spark, sf_dir):
+    return S.exported_facts(D.facts(spark, sf_dir, D.CUSTOMERS)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+# ---------------------------------------------------------------- the store
+
+
+@query("delete_cascade", f"{_NATION_LINKS}, r AS (SELECT * FROM z JOIN t a ON a.fact_id = z.fact_a JOIN t b ON b.fact_id = z.fact_b WHERE a.doc <> 'sibling-2001' AND b.doc <> 'sibling-2001') SELECT 'facts' AS name, count(*) AS n FROM f WHERE doc <> 'sibling-2001' UNION ALL SELECT 'relations', count(*) FROM r UNION ALL SELECT 'documents', count(DISTINCT doc) FROM f WHERE doc <> 'sibling-2001' UNION ALL SELECT 'open_questions', count(*) + 1 FROM f WHERE doc <> 'sibling-2001' AND modality = 'chart'")
+def delete_cascade(spark, sf_dir):
+    relations, facts = _relations(spark, sf_dir)
+    asked = facts.where("modality = 'chart'").select(F.col("seq").alias("id"), F.array("fact_id").alias("fact_ids"))
+    asked = asked.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.array().cast("array<string>").alias("fact_ids")))
+    tables = {"facts": facts, "relations": relations, "documents": D.documents(facts), "open_questions": asked}
+    return O.table_counts(O.delete_document(tables, "sibling-2001"))
+
+
+@query("upsert_documents", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents UNION ALL SELECT -1, 'new'")
+def upsert_documents(spark, sf_dir):
+    old = _documents(spark, sf_dir).select("doc_id", F.lit("old").alias("version"))
+    new = old.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("version")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("new").alias("version")))
+    return O.upserted(old, new, "doc_id")
+
+
+@query("changed_documents", "SELECT doc_id AS doc, sha256(text)[1:16] AS sha FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0")
+def changed_documents(spark, sf_dir):
+    found = _documents(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("doc"), T.content_hash(F.col("text").cast("binary")).alias("sha"))
+    return O.changed_documents(found, found.where("doc % 3 = 0"))
+
+
+@query("backfill_values", f"WITH w AS ({D.WRITTEN}), f AS (SELECT * FROM {_UNIT}) SELECT k, n.value * 10000000.0 AS value_norm, CASE WHEN n.value IS NULL THEN 'cr ' ELSE 'inr-cr' END AS unit_norm FROM {_NUMBER} n WHERE k % 6 <> 3")
+def backfill_values(spark, sf_dir):
+    rows = D.sql(spark, sf_dir, D.WRITTEN).where("k % 6 <> 3").select("k", F.col("raw").alias("value_raw"), F.lit("cr ").alias("unit_norm"), F.lit("").alias("quote"), F.lit("numeric").alias("fact_type"), F.lit(None).cast("double").alias("value_norm"))
+    return O.backfilled(rows).select("k", "value_norm", "unit_norm")
+
+
+@query("pages_without_crop", f"SELECT doc, page_index, doc[1:8] || '-p' || CAST(page_index AS VARCHAR) || '.png' AS file, count(*)::INTEGER AS n FROM ({D.with_figures(D.CUSTOMERS)}) WHERE crop = '' GROUP BY doc, page_index")
+def pages_without_crop(spark, sf_dir):
+    return O.pages_without_crop(D.facts(spark, sf_dir, D.CUSTOMERS)).select("doc", "page_index", "file", F.size("fact_ids").alias("n"))
+
+
+@query("crops_in_evidence", f"SELECT seq AS id, CASE WHEN crop = '' THEN '' ELSE 'p.png' END AS crop FROM ({D.with_figures(D.CUSTOMERS)})")
+def crops_in_evidence(spark, sf_dir):
+    facts = D.facts(spark, sf_dir, D.CUSTOMERS)
+    asked = facts.select(F.col("seq").alias("id"), F.array("fact_id").alias("fact_ids"), F.array(F.struct("doc", F.lit("").alias("crop"))).alias("evidence"))
+    return O.with_crops(asked, facts).select("id", F.col("evidence")[0]["crop"].alias("crop"))
+
+
+@query("cache_misses", "SELECT doc_id, sha256('1' || chr(0) || 'm' || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || '' || chr(0) || '0' || chr(0) || coalesce(text, ''))[1:32] AS key FROM documents WHERE doc_id % 2 = 1")
+def cache_misses(spark, sf_dir):
+    name = F.col("doc_id").cast("string")
+    chunks = _documents(spark, sf_dir).select("doc_id", O.cache_key("1", "m", name, name, F.lit(None).cast("string"), F.lit(0), F.col("text")).alias("key"))
+    return O.cache_split(chunks, chunks.where("doc_id % 2 = 0").select("key"))[1]
