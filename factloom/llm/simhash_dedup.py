@@ -172,7 +172,7 @@ def _descend(rows: DataFrame, budget: int) -> DataFrame:
     """Node pairs replaced by the pairs of their descendants eight levels below."""
     masks = sorted((m for m in range(256) if m.bit_count() <= budget), key=lambda m: (m.bit_count(), m))
     mask = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("n")) for m in masks)))
-    own = F.shiftrightunsigned(F.shiftleft("p", F.col("depth")), 56)
+    own = F.expr("shiftrightunsigned(shiftleft(p, depth), 56)")
     grown = rows.select("*", mask.alias("x"), own.alias("own")).where(F.col("spent") + F.col("x.n") <= budget)
     partner = F.col("own").bitwiseXOR(F.col("x.m"))
     same = F.col("ta") == F.col("tb")
