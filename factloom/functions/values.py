@@ -25,6 +25,11 @@ COUNT_NOUNS = ["shipment", "ton", "employee", "people", "branch", "order", "parc
 TOLERANCE = 0.02
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), with value worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 

@@ -26,10 +26,13 @@ def _none() -> Column:
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<raw,start,end>> of all matches; places are characters from 0."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.struct(m.alias("m"), (F.length(F.get(between, i)) + F.length(m)).alias("n")))
-    end = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["n"])
-    return F.transform(found, lambda m, i: F.struct(m.alias("raw"), (end(i) - F.length(m)).alias("start"), end(i).alias("end")))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
+
+    def placed(p: Column) -> Column:
+        sizes = F.transform(p["m"], lambda m, i: F.length(F.get(p["b"], i)) + F.length(m))
+        return V.bind(sizes, lambda n: F.transform(p["m"], lambda m, i: V.bind(F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x), lambda end: F.struct(m.alias("raw"), (end - F.length(m)).alias("start"), end.alias("end")))))
+
+    return V.bind(parts, placed)
 
 
 def numeric_candidates(flat: Column, sentence: Column) -> Column:
@@ -39,8 +42,8 @@ def numeric_candidates(flat: Column, sentence: Column) -> Column:
     """
     every = F.concat(located(flat, MONEY), located(flat, PERCENT), located(flat, QUANTITY))
     seen = F.transform(every, lambda m: F.struct(V.strip(m["raw"]).alias("raw"), m["start"].alias("start"), m["end"].alias("end")))
-    raws = F.transform(seen, lambda m: m["raw"])
-    first = F.filter(seen, lambda m, i: F.array_position(raws, m["raw"]) == i + 1)
+    firsts = lambda all_seen: V.bind(F.transform(all_seen, lambda m: m["raw"]), lambda raws: F.filter(all_seen, lambda m, i: F.array_position(raws, m["raw"]) == i + 1))
+    first = V.bind(seen, firsts)
     shaped = F.filter(first, lambda m: F.length(F.regexp_replace(m["raw"], r"(?U)[^\w]", "")) >= 2)
     closing = lambda m: m["raw"].startswith("(") & ~m["raw"].endswith(")") & (F.substr(flat, m["end"] + 1, F.lit(1)) == ")")
     back = lambda m, n: F.substr(flat, F.greatest(m["start"] - n, F.lit(0)) + 1, F.least(m["start"], F.lit(n)))
