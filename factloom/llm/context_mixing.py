@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -38,7 +39,7 @@ from factloom.llm.common import arrow_map, binary_list, pieces, remainder, sessi
 
 ORDERS = 5
 SLOTS_PER_ROW = 4
-LEAST_BITS, MOST_BITS = 16, 23
+LEAST_BITS, MOST_BITS = 16, 22
 PAGE = 1 << 16
 RATE, BLOCK = 0.03, 4096
 #: log2 of the keys whose costs a worker keeps.
@@ -264,7 +265,12 @@ def learn(texts: DataFrame) -> dict:
             at, zeros, ones = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             distinct, place = np.unique(at, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(distinct // PAGE), pa.array(distinct % PAGE), pa.array(np.bincount(place, zeros)), pa.array(np.bincount(place, ones))], names=["page", "slot", "zeros", "ones"])
+            counts = np.stack([np.bincount(place, zeros), np.bincount(place, ones)]).astype("<u8")
+            edges = np.flatnonzero(np.diff(distinct // PAGE, prepend=-1))
+            pages = []
+            for lo, hi in zip(edges, [*edges[1:], len(distinct)], strict=True):
+                pages.append(zlib.compress((distinct[lo:hi] % PAGE).astype("<u2").tobytes() + counts[:, lo:hi].tobytes(), 1))
+            return pa.RecordBatch.from_arrays([pa.array(distinct[edges] // PAGE), pa.array(pages, pa.binary())], names=["page", "part"])
 
         for keys, n in _rows(batches):
             for place, row in enumerate(slots_of(keys, bits)):
@@ -272,31 +278,30 @@ def learn(texts: DataFrame) -> dict:
                 for at in row:
                     held.append((at, n * (1 - one), n * one))
                     size += len(at)
-            if size > 4_000_000:
+            if size > 6_000_000:
                 yield out()
                 size = 0
         if held:
             yield out()
 
     def page(group: pa.Table) -> pa.Table:
-        # Half precision is exact for what is rare; of larger counts the ratio is kept.
-        at = group.column("slot").to_numpy()
         n = np.zeros((2, PAGE))
-        n[:, at] = group.column("zeros").to_numpy(), group.column("ones").to_numpy()
+        for part in group.column("part").to_pylist():
+            data = zlib.decompress(part)
+            size = len(data) // 18
+            n[:, np.frombuffer(data, "<u2", size)] += np.frombuffer(data, "<u8", 2 * size, 2 * size).reshape(2, size)
+        # Half precision is exact for what is rare; of larger counts the ratio is kept.
         n *= np.minimum(1, 60_000 / np.maximum(n.max(axis=0), 1))
-        return pa.table([pa.array([group.column("page")[0].as_py()], pa.int64()), pa.array([n.astype(np.float16).tobytes()], pa.binary())], names=["page", "counts"])
-
-    added = counted.mapInArrow(slots, "page long, slot long, zeros double, ones double").groupBy("page", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    zeros, ones = np.zeros((2, -(-total // PAGE) * PAGE), np.float16)
-    for r in added.groupBy("page").applyInArrow(page, "page long, counts binary").toLocalIterator():
-        own = np.frombuffer(r["counts"], np.float16).reshape(2, PAGE)
-        zeros[r["page"] * PAGE : (r["page"] + 1) * PAGE], ones[r["page"] * PAGE : (r["page"] + 1) * PAGE] = own
-    shared = spark.sparkContext.broadcast((zeros, ones, bits))
+        return pa.table([pa.array([group.column("page")[0].as_py()], pa.int64()), pa.array([zlib.compress(n.astype(np.float16).tobytes(), 1)], pa.binary())], names=["page", "counts"])
+
+    pages = {r["page"]: bytes(r["counts"]) for r in counted.mapInArrow(slots, "page long, part binary").groupBy("page").applyInArrow(page, "page long, counts binary").toLocalIterator()}
+    model = {"pages": pages, "slots": total, "bits": bits, "weights": None, "refine": None}
+    shared = spark.sparkContext.broadcast(model)
     # Rows in the order of a hash, so that a block is a fair sample.
     shuffled = counted.repartition("key").sortWithinPartitions(F.xxhash64(F.lit(3), "key"))
 
     def weigh(batches):
-        mixer, seen = Mixer(*shared.value), 0.0
+        mixer, seen = mixer_of(shared.value, fresh=True), 0.0
         for keys, n in _rows(batches):
             for at in range(0, len(keys), BLOCK):
                 mixer.learn(keys[at : at + BLOCK], n[at : at + BLOCK])
@@ -308,21 +313,39 @@ def learn(texts: DataFrame) -> dict:
     parts = shuffled.mapInArrow(weigh, "n double, w array<double>").select("n", F.posexplode("w").alias("k", "w"))
     for r in parts.groupBy("k").agg(F.sum(F.col("n") * F.col("w")).alias("w"), F.sum("n").alias("n")).toLocalIterator():
         weights[r["k"]], seen = r["w"] / r["n"], r["n"]
-    mixed = spark.sparkContext.broadcast(weights.reshape(GATES, ORDERS + 1) if seen else None)
+    if not seen:
+        return model | {"weights": np.zeros((GATES, ORDERS + 1))}
+    mixed = spark.sparkContext.broadcast(weights.reshape(GATES, ORDERS + 1))
 
     def refine(batches):
-        mixer, out = Mixer(*shared.value, mixed.value), np.zeros((2, 256 * STEPS))
+        mixer, out = mixer_of(shared.value), np.zeros((2, 256 * STEPS))
+        mixer.weights = mixed.value
         for keys, n in _rows(batches):
             for at in range(0, len(keys), 65536):
                 out += mixer.mapped(keys[at : at + 65536], n[at : at + 65536])
         used = np.flatnonzero(out[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[0][used]), pa.array(out[1][used])], names=["k", "n", "ones"])
 
-    middle = _squash(np.arange(STEPS) * (16 / (STEPS - 1)) - 8)
-    cells = np.tile(middle, 256)
+    cells = np.tile(_squash(np.arange(STEPS) * (16 / (STEPS - 1)) - 8), 256)
     for r in counted.mapInArrow(refine, "k long, n double, ones double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toLocalIterator():
         cells[r["k"]] = (r["ones"] + 20 * cells[r["k"]]) / (r["n"] + 20)
-    return {"zeros": zeros, "ones": ones, "bits": bits, "weights": weights.reshape(GATES, ORDERS + 1) if seen else None, "refine": cells if seen else None}
+    shared.destroy()
+    return model | {"weights": mixed.value, "refine": cells}
+
+
+def mixer_of(model: dict, fresh: bool = False) -> Mixer:
+    """The model's mixer, made once for all tasks of a worker (which then keeps the costs it has worked out)."""
+    if "counts" not in model:
+        n = np.zeros((2, -(-model["slots"] // PAGE) * PAGE), np.float16)
+        for page, data in model["pages"].items():
+            n[:, page * PAGE : (page + 1) * PAGE] = np.frombuffer(zlib.decompress(data), np.float16).reshape(2, PAGE)
+        model["counts"] = n
+    if fresh or "mixer" not in model:
+        mixer = Mixer(*model["counts"], model["bits"], model["weights"], model["refine"])
+        if fresh:
+            return mixer
+        model["mixer"] = mixer
+    return model["mixer"]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -364,8 +387,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
 
     def make():
         counts, model = shared.value
-        # One for all tasks of a worker, with the costs it has worked out.
-        mixer = model.setdefault("mixer", Mixer(model["zeros"], model["ones"], model["bits"], model["weights"], model["refine"]))
+        mixer = mixer_of(model)
         terms = {w: math.log10(n + 0.5) for w, n in counts.items()}
         first, number = TaskContext.get().partitionId() << 33, 0
 
