@@ -54,7 +54,8 @@ def external_shuffle(records: DataFrame, text: str = "text", seed: int = SEED, b
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema.fields) + ", __place long"
     path = f"{spark.sparkContext.getCheckpointDir()}/shuffled-{uuid.uuid4().hex}"
-    scattered.groupBy("__bucket").applyInArrow(shuffled, ddl).drop("__key").write.parquet(path)
+    # As many partitions as buckets, however many the session shuffles into: a task holds about one bucket.
+    scattered.repartition(buckets, "__bucket").groupBy("__bucket").applyInArrow(shuffled, ddl).drop("__key").write.parquet(path)
     return spark.read.parquet(path)
 
 
