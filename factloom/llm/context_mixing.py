@@ -43,7 +43,9 @@ LEAST_BITS, MOST_BITS = 16, 22
 PAGE = 1 << 16
 RATE, BLOCK = 0.03, 4096
 #: log2 of the keys whose costs a worker keeps.
-KEPT_BITS = 21
+KEPT_BITS = 20
+#: Numbers that a task gathers before it sums them up, and bytes of text that it scores at a time: these bound its memory.
+GATHERED, SCORED_BYTES = 1_000_000, 1 << 18
 STEPS = 33
 HEAVY = 200_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -221,7 +223,7 @@ def _count_keys(texts: DataFrame) -> DataFrame:
             if waiting:
                 held.append(np.unique(keys_of(waiting)[0], return_counts=True))
                 waiting, size = [], 0
-                if sum(len(k) for k, _ in held) > 4_000_000:
+                if sum(len(k) for k, _ in held) > 2 * GATHERED:
                     merge()
 
         def out() -> pa.RecordBatch:
@@ -233,9 +235,9 @@ def _count_keys(texts: DataFrame) -> DataFrame:
             for data in binary_list(batch.column(0)):
                 waiting.append(data or b"")
                 size += len(waiting[-1])
-                if size > 1 << 20:
+                if size > SCORED_BYTES:
                     take()
-            if held and len(held[0][0]) > 3_000_000:
+            if held and len(held[0][0]) > GATHERED:
                 yield out()
         take()
         if held:
@@ -278,7 +280,7 @@ def learn(texts: DataFrame) -> dict:
                 for at in row:
                     held.append((at, n * (1 - one), n * one))
                     size += len(at)
-            if size > 6_000_000:
+            if size > 2 * GATHERED:
                 yield out()
                 size = 0
         if held:
@@ -379,16 +381,15 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
     n_words, n_distinct, n_ends = (*words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first(), texts.count())
     tokens, distinct = n_words + n_ends, n_distinct + (n_ends > 0)
     least = max(2, -(-tokens // HEAVY))
-    heavy = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).toLocalIterator()}
+    heavy = {bytes(r["word"]): math.log10(r["n"] + 0.5) for r in words.where(F.col("n") >= least).toLocalIterator()}
     shared = spark.sparkContext.broadcast((heavy, learn(texts)))
     scale = math.log10(tokens + 0.5 * (distinct + 1))
     source = docs.select(*keep, F.col(text).alias("__text"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def make():
-        counts, model = shared.value
+        terms, model = shared.value
         mixer = mixer_of(model)
-        terms = {w: math.log10(n + 0.5) for w, n in counts.items()}
         first, number = TaskContext.get().partitionId() << 33, 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -403,11 +404,11 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
                 n = sum(seen.values()) + 1
                 rows.append((first + number, n, n - 1 - sum(x for _, x in rare), sum(terms[w] * x for w, x in seen.items() if w in terms), len(one), [{"word": w, "n": x} for w, x in rare]))
                 number += 1
-            # About 1 MB at a time; a longer text is one of its own.
+            # A longer text is one of its own.
             at = 0
             while at < len(data):
                 end, size = at, 0
-                while end < len(data) and (end == at or size + len(data[end]) < 1 << 20):
+                while end < len(data) and (end == at or size + len(data[end]) < SCORED_BYTES):
                     size += len(data[end])
                     end += 1
                 total[at:end] = mixer.total_bits(data[at:end])
