@@ -1,8 +1,11 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
-Folding: lower case, homoglyphs of Latin letters to these letters, digits and signs that stand for letters to those.
+Folding: lower case, homoglyphs of Latin letters to these letters, digits and signs that stand for letters to those
+(signs only where a letter or digit follows: at a word's end they are punctuation).
 Entries of the lexicon are words and word beginnings of STEMS letters; their weight is the smoothed log odds of
-being in a document labelled toxic, learned from the labelled rows given. Exception phrases are word pairs around an
+being in a document labelled toxic, learned from the labelled rows given. An entry stays if it is among the strongest
+(within NEAR_BEST) of enough toxic documents, counted by the words around it: words that only go along with such
+entries, or that only stand in copies of one text, are left out. Exception phrases are word pairs around an
 entry that stand in clean documents at least as often as elsewhere; a match inside one doesn't count.
 
 score: a logistic function, fitted on the same rows, of the weight found and of that weight per 100 words.
@@ -33,6 +36,7 @@ from factloom.llm.common import arrow_map, remainder, session, table
 MAX_LABELLED = 200_000
 MIN_SHARE = 0.002
 MIN_DOCS = 4
+NEAR_BEST = 2.0
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Lookalikes from other alphabets, then digits and signs used as letters.
@@ -40,6 +44,7 @@ HOMOGLYPHS = dict(zip("авеёкмнорстухіјѕԁԛԝһαβγεηικν
 SUBSTITUTES = dict(zip("013457$@!|", "oieastsaii", strict=True))
 _TABLE = str.maketrans(HOMOGLYPHS | SUBSTITUTES)
 _WORD = re.compile(r"[^\W_]+")
+_TRAILING = re.compile(r"[@$!|]++(?![^\W_])")
 
 
 def folded_words(text: str | None) -> list[str]:
@@ -49,7 +54,7 @@ def folded_words(text: str | None) -> list[str]:
     low = text.lower()
     if any("！" <= c <= "～" for c in (low if not low.isascii() else "")):
         low = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in low)
-    return _WORD.findall(low.translate(_TABLE))
+    return _WORD.findall(_TRAILING.sub(" ", low).translate(_TABLE))
 
 
 def features(words: list[str]) -> set[str]:
@@ -163,6 +168,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     # A word beginning is only an entry of its own if it is as telling as log(8); words that it covers are left out.
     chosen = {f: w for f, w in odds.items() if w >= math.log(8) and clean.get(f, 0) <= toxic[f]}
     weights = {f: w for f, w in chosen.items() if not any(f[:n] in chosen and chosen[f[:n]] >= w - 0.5 for n in STEMS if n < len(f.rstrip()))}
+    every = spark.sparkContext.broadcast((weights, set(), NEAR_BEST))
+
+    def strongest():
+        *own, near = every.value
+        machine = automaton(*own)
+
+        def step(words, _):
+            found = hits(words, machine)
+            best, line, first = max((w for _, w, _ in found), default=0.0), f" {' '.join(words)} ", {}
+            for at, weight, entry in found:
+                if weight >= best - near and entry not in first:
+                    end = line.find(" ", at + 1)
+                    first[entry] = f"{entry}|{line[line.rfind(' ', 0, at) + 1 : at]}|{line[end + 1 : max(line.find(' ', end + 1), end + 1)]}"
+            return first.values()
+
+        return step
+
+    places = _count(rows.where("toxic > 0"), strongest).groupBy(F.substring_index("f", "|", 1).alias("f")).agg(F.count("*").alias("n"))
+    leading = {r["f"] for r in places.where(F.col("n") >= least).toLocalIterator()}
+    weights = {f: w for f, w in weights.items() if f in leading}
     machine_of = spark.sparkContext.broadcast((weights, set()))
 
     def around():

@@ -173,6 +173,7 @@ def test_toxicity(spark, nasty, empty):
     model = toxicity.fit(frame, labels.where("doc_id < 200 or doc_id is null"))
     assert "grobnak cider" in model["exceptions"]
     new = [(0, "river gr0bn4k north"), (1, "stone Zurgleth!"), (2, "green table cloud"), (3, "north grobnak cider"), (4, None), (5, "grоbnаk")]  # the last with homoglyphs
+    assert toxicity.folded_words("$CUM!! gr0bn4k!!! a$$et @t it's 7@x") == ["scum", "grobnak", "asset", "at", "it", "s", "tax"]
     got = {r["doc_id"]: r["score"] >= toxicity.THRESHOLD for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), ["doc_id"], model).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True}
     assert toxicity.score(nasty, ["doc_id"], model).count() == N_ROWS
