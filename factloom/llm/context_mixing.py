@@ -1,7 +1,8 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text is its UTF-8 bytes and one end byte (0xFF, which UTF-8 never has), each byte eight binary decisions, highest bit
-first. A predictor of order o looks up the last o bytes with the bits of the byte so far, hashed into a slot that
+A text is what its tokens say: the words with A-Z in lower case, one space between them, as UTF-8, and one end byte (0xFF,
+which UTF-8 never has); so the model and the unigram base give probabilities of the same thing. Each byte is eight binary
+decisions, highest bit first. A predictor of order o looks up the last o bytes with the bits of the byte so far, hashed into a slot that
 counts the zeros and ones seen there. The predictors' log odds are added with weights; the set of weights is chosen
 (gated) by how much the higher orders have seen and by the bit's place. The mixture's probability is refined by an
 adaptive map from (bits so far, quantised log odds) to the frequency really seen. The bits' costs add up to the text's
@@ -41,7 +42,7 @@ ORDERS = 5
 SLOTS_PER_ROW = 4
 LEAST_BITS, MOST_BITS = 16, 22
 PAGE = 1 << 16
-RATE, BLOCK = 0.03, 4096
+RATE, BLOCK = 0.15, 4096
 #: log2 of the keys whose costs a worker keeps.
 KEPT_BITS = 20
 #: Numbers that a task gathers before it sums them up, and bytes of text that it scores at a time: these bound its memory.
@@ -53,6 +54,12 @@ _END = b"\xff"
 _U = np.uint64
 
 
+def plain(text: bytes | None) -> bytes:
+    """The words in lower case with one space between them."""
+    parts = (b" ".join(part.lower().split()) for part in pieces(text or b"", _SPACE))
+    return b" ".join(part for part in parts if part)
+
+
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of the texts (with their ends): the ORDERS bytes before it and itself as one number; where texts begin.
 
@@ -233,7 +240,7 @@ def _count_keys(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for data in binary_list(batch.column(0)):
-                waiting.append(data or b"")
+                waiting.append(plain(data))
                 size += len(waiting[-1])
                 if size > SCORED_BYTES:
                     take()
@@ -374,7 +381,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, n_tokens, n_known, train_tokens, base_score, score (both log10) and bits_per_byte."""
+    """The kept columns, n_tokens, n_known, train_tokens, base_score, score (both log10) and bits_per_byte (of plain bytes)."""
     spark = session(docs.sparkSession)
     texts = training.select(F.col(text).alias("t"))
     words = written(count_words(texts), "words")
@@ -394,12 +401,12 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal number
-            data = [x or b"" for x in binary_list(batch.column(len(keep)))]
+            data = [plain(x) for x in binary_list(batch.column(len(keep)))]
             rows, total = [], np.zeros(len(data))
             for k, one in enumerate(data):
                 seen: Counter[bytes] = Counter()
                 for part in pieces(one, _SPACE):
-                    seen.update(part.lower().split())
+                    seen.update(part.split())
                 rare = [(w, n) for w, n in seen.items() if w not in terms]
                 n = sum(seen.values()) + 1
                 rows.append((first + number, n, n - 1 - sum(x for _, x in rare), sum(terms[w] * x for w, x in seen.items() if w in terms), len(one), [{"word": w, "n": x} for w, x in rare]))
