@@ -44,7 +44,7 @@ LEAST_BITS, MOST_BITS = 16, 22
 PAGE = 1 << 16
 RATE, BLOCK = 0.15, 4096
 #: log2 of the keys whose costs a worker keeps.
-KEPT_BITS = 20
+KEPT_BITS = 21
 #: Numbers that a task gathers before it sums them up, and bytes of text that it scores at a time: these bound its memory.
 GATHERED, SCORED_BYTES = 1_000_000, 1 << 18
 STEPS = 33
