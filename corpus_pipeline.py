@@ -5,7 +5,8 @@ to the table documents, with each result written to the shared folder before the
 all their predecessor kept, and all but the last return the columns of documents.
 
 1. language: documents without a language (no text, no letter, or letters unlike any learned language) go.
-2. dedup: of each group of near duplicates, the document with the least doc_id stays.
+2. dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the document with the least
+   doc_id stays.
 3. decontaminate: documents that hold a window of a benchmark item go.
 4. personal: spans of personal data become their kind in brackets; n_chars follows the text.
 5. pack: the documents' tokens are packed into sequences of at most 1024.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate as leaks
-from factloom.llm import language_id, packing, personal_data, simhash_dedup
+from factloom.llm import language_id, near_copies, packing, personal_data
 from factloom.llm.common import session, table, written
 
 
@@ -32,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

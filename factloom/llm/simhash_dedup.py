@@ -239,10 +239,10 @@ def _prints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return cut(fingerprints(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")), ["__id"], "__text", width))
 
 
-def _classes(prints: DataFrame, budget: int) -> DataFrame:
+def _classes(prints: DataFrame, find) -> DataFrame:
     """Per distinct fingerprint: __root, __component (the least __id of its component) and n_links."""
     classes = cut(prints.groupBy("__fp").agg(F.min("__id").alias("least")))
-    pairs = cut(links(classes.select("__fp"), budget))
+    pairs = cut(find(classes.select("__fp")))
     roots = components(pairs)
     degree = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("__fp")).agg(F.count("*").alias("n_links"))
     joined = classes.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left").join(degree, "__fp", "left")
@@ -254,14 +254,19 @@ def _classes(prints: DataFrame, budget: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id, n_links (other fingerprints that link to its own)."""
     prints = _prints(docs, doc_id, text, width)
-    labelled = prints.join(_classes(prints, budget), "__fp", "left")
+    labelled = prints.join(_classes(prints, lambda found: links(found, budget)), "__fp", "left")
     return labelled.select(F.col("__id").alias(doc_id), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
     """docs without near duplicates: of each component the row with the least doc_id (of repeated rows, one)."""
     prints = _prints(docs, doc_id, text, width)
-    labelled = prints.join(_classes(prints, budget), "__fp").where(F.col("__id").eqNullSafe(F.col("__component")))
+    return keep_least(docs, doc_id, text, prints, lambda found: links(found, budget), lambda rows, keep, body: fingerprints(rows, keep, body, width))
+
+
+def keep_least(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, find, label) -> DataFrame:
+    """keep_one by any fingerprints: prints (__id, __fp), find(distinct ones) their links, label(rows, keep, text) adds __fp."""
+    labelled = prints.join(_classes(prints, find), "__fp").where(F.col("__id").eqNullSafe(F.col("__component")))
     kept = cut(labelled.groupBy("__root", "__id").agg(F.min("__fp").alias("__fp")).select("__id", "__fp"))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     several = cut(prints.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
@@ -270,7 +275,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         return rows.join(kept, one(rows, kept), "left_semi").select("__row.*")
     plain = rows.join(kept, one(rows, kept), "left_semi").join(several, one(rows, several), "left_anti")
     # Of an id with several rows, those that have the kept fingerprint; identical ones once.
-    again = fingerprints(rows.join(several, one(rows, several), "left_semi"), ["__row", "__id", "__text"], "__text", width)
+    again = label(rows.join(several, one(rows, several), "left_semi"), ["__row", "__id"], "__text")
     again = again.join(kept, one(again, kept) & (again["__fp"] == kept["__fp"]), "left_semi")
     again = again.groupBy("__id", "__fp").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
     return plain.select("__row.*").unionByName(again.select("__row.*"))
