@@ -16,6 +16,7 @@ they came in.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -53,7 +54,8 @@ WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.6}
 FREEDOM = {"mit": 1.0, "isc": 1.0, "bsd": 1.0, "apache": 1.0, "unlicense": 1.0, "cc0": 1.0, "public": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "lgpl": 0.5, "epl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "proprietary": 0.0, "reserved": 0.0}
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
-_EXPRESSION = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\x20\t]*:?[\x20\t]*([^\r\n]{0,400})")
+_EXPRESSION = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\x20\t]*:?[\x20\t]*")
+_TOKEN_OR_END = re.compile(_TOKEN.pattern.encode() + rb"|[\r\n]")
 
 
 def freedom_of(label: str) -> float:
@@ -64,7 +66,15 @@ def freedom_of(label: str) -> float:
     return 0.2
 
 
-def postfix(tokens: list[str]) -> list[str]:
+def _tokens(data: bytes, at: int) -> Iterator[str]:
+    """Tokens from `at` to the end of the line, read as they are asked for; they are ASCII."""
+    for m in _TOKEN_OR_END.finditer(data, at):
+        if m[0] in b"\r\n":
+            return
+        yield m[0].decode()
+
+
+def postfix(tokens: Iterable[str]) -> list[str]:
     """Shunting yard: operands in order, each operator behind its two sides. Stops where the expression does."""
     out: list[str] = []
     held: list[str] = []
@@ -148,7 +158,7 @@ def scan(data: bytes | None, machine: ahocorasick.Automaton) -> tuple[int, list[
         at = min(x[0] for x in found if x[2] == "tag")
         found = [x for x in found if x[2] != "tag"]
         for m in _EXPRESSION.finditer(data):
-            value = evaluate(postfix(_TOKEN.findall(m[1].decode("utf-8", "replace"))))
+            value = evaluate(postfix(_tokens(data, m.end())))
             found += [(at, 3, "tag", label) for label in sorted(value[0] if value else {"unknown"})]
             found.append((at, 3, "freedom", str(value[1] if value else 0.2)))
     return total, sorted(found)
