@@ -122,24 +122,37 @@ def row_key(columns: list[str]) -> list[Column]:
     return [F.xxhash64(*columns).alias("__k1"), F.hash(F.lit(17), *columns).alias("__k2")]
 
 
+def _said(words: DataFrame, texts: DataFrame, text: str, n: int) -> DataFrame:
+    """(context, said) of n words: how often each stands in the texts; 0 where it is part of a longer one."""
+    if not n:
+        return words.withColumn("said", F.lit(0).cast("long"))
+    side = F.broadcast(words) if n <= SMALL_ROWS else words
+    every = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[\s\"'(<\[]+")).alias("context"))
+    counted = every.join(side, "context", "left_semi").groupBy("context").agg(F.count("*").alias("said"))
+    return words.join(counted, "context", "left").select("context", F.coalesce("said", F.lit(0)).alias("said"))
+
+
 def bootstrap(mentions: DataFrame, texts: DataFrame, text: str, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """(value, score) of the instances, not seeds, that are identifiers. mentions: value, kind, context."""
     edges = cut(mentions.where("context <> ''").groupBy("context", F.lower("value").alias("value")).agg(F.count("*").alias("n"), F.max((F.col("kind") != "id").cast("double")).alias("seed")))
-    seeded = edges.where("seed > 0").groupBy("context").agg(F.count("*").alias("k")).where(F.col("k") >= 1).select("context")
-    # How often a pattern's word stands in the corpus. Signs such as `name =` are only ever counted before instances.
-    words = seeded.where(~F.col("context").rlike(r"\s"))
-    words = cut(words)
-    # A word that vouches for an identifier makes up at least its confidence of what follows it, so only the
-    # words' own numbers matter; as long as there are few of them, the texts' words are counted without a shuffle of all.
-    side = F.broadcast(words) if words.count() <= SMALL_ROWS else words
-    said = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[\s\"'(<\[]+")).alias("context")).join(side, "context", "left_semi").groupBy("context").agg(F.count("*").alias("said"))
+    # Patterns whose trust is too low even by the instances seen behind them never vouch; of the others, how often the word
+    # stands in the corpus is counted when a round first finds them. Signs such as `name =` are only ever counted before
+    # instances.
     seen = edges.groupBy("context").agg(F.sum("n").alias("seen"))
-    edges = cut(edges.join(seen, "context").join(said, "context", "left").select("context", "value", "n", "seed", F.greatest("seen", F.coalesce("said", F.lit(0))).alias("all")))
+    edges = cut(edges.join(seen, "context"))
     scores = edges.groupBy("value").agg(F.max("seed").alias("score"))
+    said = None
     for _ in range(rounds):
         weighed = edges.join(scores, "value")
-        patterns = weighed.groupBy("context").agg((F.sum(F.col("n") * F.col("score")) / F.max("all")).alias("trust"), F.sum((F.col("score") >= confident).cast("int")).alias("k"))
-        patterns = patterns.where((F.col("trust") >= confident) & (F.col("k") >= support)).select("context", F.least("trust", F.lit(0.999)).alias("trust"))
+        patterns = weighed.groupBy("context").agg(F.sum(F.col("n") * F.col("score")).alias("sum"), F.max("seen").alias("seen"), F.sum((F.col("score") >= confident).cast("int")).alias("k"))
+        patterns = cut(patterns.where((F.col("sum") / F.col("seen") >= confident) & (F.col("k") >= support)))
+        words = patterns.where(~F.col("context").rlike(r"\s")).select("context")
+        words = cut(words if said is None else words.join(said, "context", "left_anti"))
+        if (n := words.count()) or said is None:
+            fresh = _said(words, texts, text, n)
+            said = cut(fresh if said is None else said.unionByName(fresh))
+        patterns = patterns.join(said, "context", "left").withColumn("trust", F.col("sum") / F.greatest("seen", F.coalesce("said", F.lit(0))))
+        patterns = patterns.where(F.col("trust") >= confident).select("context", F.least("trust", F.lit(0.999)).alias("trust"))
         vouched = edges.join(patterns, "context", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(1 - F.coalesce("trust", F.lit(0.0)))).alias("doubt"))
         scores = cut(vouched.select("value", F.when(F.col("seed") > 0, 1.0).otherwise(1 - F.exp("doubt")).alias("score")))
     seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
