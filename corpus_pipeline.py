@@ -29,7 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     session(spark)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__body"))
     said = language_id.predict(rows, ["__row"], language_id.learned(docs), "__body")
-    return said.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.LEAST_SCORE)).select("__row.*")
+    like = language_id.like_learned(F.col("score"), F.col("__row.text"), language_id.letters(language_id.training(docs)))
+    return said.where((F.col("lang_pred") != language_id.UNKNOWN) & like).select("__row.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

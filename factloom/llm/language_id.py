@@ -16,6 +16,8 @@ stay.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +29,12 @@ DIMENSIONS = 1024
 SEED = 11
 #: Trigrams whose vectors a task keeps; beyond it, it starts anew.
 KEPT_TRIGRAMS = 40_000
-#: The pipeline rejects documents without a language, and those whose letters look like none that was learned.
-LEAST_SCORE = 0.02
+#: The pipeline rejects documents without a language, and those whose letters look like none that was learned: whose score
+#: is within five standard deviations of what unrelated vectors have, and most of whose letters no language uses. A short
+#: text of a learned language may score as low, but has its letters.
+LEAST_SCORE = 5 / DIMENSIONS**0.5
+#: A language uses the letters that stand in one of so many of its training documents at least.
+RARE_LETTER = 100
 UNKNOWN = "und"
 
 
@@ -152,9 +158,38 @@ def predict(docs: DataFrame, keep: list[str], prototypes: dict[str, np.ndarray],
     return arrow_map(source, make, f"{ddl}, lang_pred string, score double")
 
 
+def letters(docs: DataFrame, text: str = "text", lang: str = "lang") -> str:
+    """The letters, lower-cased, that the languages of docs use: no more than there are code points."""
+    source = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+
+    def run(batches):
+        seen: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own := [c for c in set(body.lower()) if c.isalpha()]:
+                    seen.update((name, c) for c in ["", *own])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "c", "n"])
+
+    counts = source.mapInArrow(run, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("n")).collect()
+    texts = {r["lang"]: r["n"] for r in counts if not r["c"]}
+    return "".join(sorted({r["c"] for r in counts if r["c"] and r["n"] * RARE_LETTER >= texts[r["lang"]]}))
+
+
+def like_learned(score: Column, text: Column, known: str) -> Column:
+    """Whether a text with this score is like a learned language, of which `known` are the letters."""
+    own = F.regexp_replace(F.lower(text), r"\P{L}+", "")
+    strange = F.length(F.translate(own, known, "")) if known else F.length(own)
+    return F.when(score >= LEAST_SCORE, True).otherwise(2 * strange <= F.length(own))
+
+
+def training(docs: DataFrame, doc_id: Column | None = None) -> DataFrame:
+    """The documents that aren't held out."""
+    return docs.where(remainder(F.col("doc_id") if doc_id is None else doc_id, 4) != 2)
+
+
 def learned(docs: DataFrame, doc_id: Column | None = None) -> dict[str, np.ndarray]:
     """Prototypes from the documents that aren't held out."""
-    return train(docs.where(remainder(F.col("doc_id") if doc_id is None else doc_id, 4) != 2))
+    return train(training(docs, doc_id))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
