@@ -1,15 +1,18 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them
-to the table documents, with each result written to the shared folder before the next stage reads it. Stages work on
-all their predecessor kept, and all but the last return the columns of documents.
+to the table documents, with each result written to the shared folder before the next stage reads it, and removes what it
+has written once that is read; only what the returned rows are read from stays. Stages work on all their predecessor kept,
+and all but the last return the columns of documents.
 
 1. language: documents without a language (no text, no letter, or letters unlike any learned language) go.
 2. dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the document with the least
-   doc_id stays.
+   doc_id stays. SimHash fingerprints and the trie self-join propose what differs in two bits or fewer; as copies of that
+   similarity may differ in many more, a prefix filter finds the rest, and all are verified by their shingles.
 3. decontaminate: documents that hold a window of a benchmark item go.
 4. personal: spans of personal data become their kind in brackets; n_chars follows the text.
-5. pack: the documents' tokens are packed into sequences of at most 1024.
+5. pack: the documents' tokens are packed into sequences of at most 1024; `ids` has a piece's token ids as little-endian
+   unsigned 32-bit numbers.
 
 Nulls, empty texts, ties, repeated rows and empty tables: as each operator's docstring says. Columns beyond those of
 documents are carried through.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate as leaks
 from factloom.llm import language_id, near_copies, packing, personal_data
-from factloom.llm.common import session, table, written
+from factloom.llm.common import made_here, removed, session, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, ["doc_id"], packing.tokenizer_path())
+    return packing.pack(docs, ["doc_id"], packing.tokenizer_path(), with_ids=True)
 
 
 STAGES = [("language", language), ("dedup", dedup), ("decontaminate", decontaminate), ("personal", personal), ("pack", pack)]
@@ -60,7 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with made_here() as own:
+            docs = written(stage(spark, docs, sf_dir), name)
+        removed(spark, before + own[:-1])
+        before = own[-1:]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    removed(spark, before)
+    return packed

@@ -1,31 +1,45 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text is what its tokens say: the words with A-Z in lower case, one space between them, as UTF-8, and one end byte (0xFF,
-which UTF-8 never has); so the model and the unigram base give probabilities of the same thing. Each byte is eight binary
-decisions, highest bit first. A predictor of order o looks up the last o bytes with the bits of the byte so far, hashed into a slot that
-counts the zeros and ones seen there. The predictors' log odds are added with weights; the set of weights is chosen
-(gated) by how much the higher orders have seen and by the bit's place. The mixture's probability is refined by an
-adaptive map from (bits so far, quantised log odds) to the frequency really seen. The bits' costs add up to the text's
-total, a proper probability over all texts.
+A text is what its tokens say: the words with A-Z in lower case, each with the blank that ends it, and one end (the byte
+0xFF, which UTF-8 never has, as a word of its own); so the model and the unigram base give probabilities of the same
+thing. Each byte is eight binary decisions, highest bit first. The predictors count zeros and ones behind
 
-Learning, all of it over all training documents:
-1. tasks count (ORDERS bytes, next byte) exactly; the counts are summed in Spark;
-2. tasks turn these rows into slots' counts, which are summed by slot and sent out as pages of numbers;
-3. tasks learn the weights online, block by block of rows in random order, each row as often as it was seen and with
-   its own occurrence left out of the counts it is predicted from; the tasks' weights are averaged;
-4. with these weights, tasks count what the map needs; the counts are summed.
-There are about SLOTS_PER_ROW slots a counted row, never more than 2 ** MOST_BITS: that bounds what goes to a task.
+* the last 2 (with their place in the word), 3 and 4 bytes of the word (with its beginning), hashed,
+* the whole word so far, and
+* the whole word so far with the class of the word before (short words by a hash, others by that of their ending).
+
+The predictors' log odds are added with weights; the set of weights is chosen (gated) by how much the predictors have seen
+and by the bit's place. The mixture's probability is refined by an adaptive map from (bits so far, quantised log odds) to
+the frequency really seen. The bits' costs add up to the text's total, a proper probability over all texts.
 
-A unigram base goes with it: counts of lower-cased words and of the text's end. Words that make up at least one in
-HEAVY training tokens (so at most HEAVY of them) go to every task; the others are joined with their counts.
+Nothing here looks further back than the class of the word before. So what a word costs depends on the pair (class, word),
+is worked out once for each distinct pair of the corpus, and joined to the documents.
+
+Learning, all of it over all training documents:
+1. tasks count the pairs, of all documents, with how often training has them; the counts are summed in Spark;
+2. the counts behind the last 2 to 4 bytes, and behind fewer than SPLIT bytes of a word with its class, go into hashed tables
+   of fixed width (contexts as short as these are soon all known), which go to every task;
+3. the pairs are dealt out by the first SPLIT bytes of the word. All words that a longer context has are then in one group,
+   which counts them exactly: these tables grow with the corpus, and nobody holds them whole. Groups learn the weights
+   online, block by block in the order of a hash, each context as often as it was seen and with its own occurrence left out
+   of the counts it is predicted from; then the refining map. The groups' weights and maps are averaged;
+4. the groups work out what their pairs cost.
+What belongs to a group follows from the data alone, not from how Spark deals out tasks, and is put together in the groups'
+order: the same documents always give the same scores.
+
+A unigram base goes with it: counts of the words and of the end, summed in the same groups. Pairs that make up at least one
+in HEAVY of all (so at most HEAVY of them) go to every task; the others are joined.
 
 Edge cases: null texts are empty; an empty text has its end only; without training documents every bit costs one bit
-and every token's base term is 0. Repeated rows and null ids stay and are scored each for itself.
+and every token's base term is 0; an empty table gives no rows. Repeated rows and null ids stay and are scored each for
+itself. A word of any length is read whole. Columns other than the kept ones and the text are never looked at; kept ones may
+not have the names of those that this adds, or begin with `__`.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 import zlib
 from collections import Counter
@@ -36,236 +50,125 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, binary_list, pieces, remainder, session, table, written
+from factloom.llm.common import arrow_map, binary_list, mix, pieces, remainder, schema_with, session, table, written
 
-ORDERS = 5
-SLOTS_PER_ROW = 4
-LEAST_BITS, MOST_BITS = 16, 22
+#: Bytes behind which the hashed tables count, and log2 of the slots of each; then that of class and word beginning.
+SHORT, BITS = (2, 3, 4), (20, 21, 22, 21)
+#: Words are dealt out by so many first bytes; beyond LIMIT bytes the whole word so far is no context any more.
+SPLIT, LIMIT = 4, 24
+PREDICTORS = len(SHORT) + 2
+#: Distinct pairs of one group, about.
+GROUP_ROWS = 200_000
 PAGE = 1 << 16
 RATE, BLOCK = 0.15, 4096
-#: log2 of the keys whose costs a worker keeps.
-KEPT_BITS = 21
-#: Numbers that a task gathers before it sums them up, and bytes of text that it scores at a time: these bound its memory.
-GATHERED, SCORED_BYTES = 1_000_000, 1 << 18
+#: Blocks that a group learns from at least: a small group's blocks come again.
+LEAST_BLOCKS = 200
+#: Numbers that a task gathers before it sums them up, and bytes that it looks at together.
+GATHERED, LOOKED_AT = 1_000_000, 1 << 16
 STEPS = 33
 HEAVY = 200_000
+END, GAP, START = b"\xff", 0x20, b"\x00"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
-_END = b"\xff"
 _U = np.uint64
 
 
-def plain(text: bytes | None) -> bytes:
-    """The words in lower case with one space between them."""
-    parts = (b" ".join(part.lower().split()) for part in pieces(text or b"", _SPACE))
-    return b" ".join(part for part in parts if part)
-
-
-def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the texts (with their ends): the ORDERS bytes before it and itself as one number; where texts begin.
-
-    Before a text's first byte are end bytes.
-    """
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    joined = np.frombuffer(_END * ORDERS + _END.join(texts) + _END, np.uint8).astype(_U)
-    n = len(joined) - ORDERS
-    begins = np.cumsum(lengths) - lengths
-    inside = np.arange(n) - np.repeat(begins, lengths)
-    keys = joined[ORDERS:].copy()
-    for back in range(1, ORDERS + 1):
-        byte = joined[ORDERS - back : ORDERS - back + n].copy()
-        byte[inside < back] = 0xFF
-        keys |= byte << _U(8 * back)
-    return keys, begins
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
-
-
-def sizes_of(bits: int) -> list[int]:
-    """log2 of the slots of orders 1 to ORDERS: the two highest get the whole width."""
-    return [16, *(min(bits, max(LEAST_BITS, bits - (ORDERS - 1 - o))) for o in range(2, ORDERS + 1))]
-
-
-def slots_of(keys: np.ndarray, bits: int) -> list[list[np.ndarray]]:
-    """[bit][order - 1]: the slot, among those of all orders, of each key's context."""
-    sizes = sizes_of(bits)
-    starts = np.cumsum([0, *(1 << s for s in sizes)])
-    byte = keys & _U(0xFF)
-    hashes = [_mix(((keys >> _U(8)) & _U((1 << (8 * o)) - 1)) + _U(o << 58)) for o in range(1, ORDERS + 1)]
-    out = []
-    for k in range(8):
-        so_far = _U(1 << k) | (byte >> _U(8 - k))
-        row = []
-        for o in range(1, ORDERS + 1):
-            if o == 1:
-                at = (((keys >> _U(8)) & _U(0xFF)) << _U(8)) | so_far
-            else:
-                at = _mix(hashes[o - 1] + so_far * _U(0xD6E8FEB86659FD93)) >> _U(64 - sizes[o - 1])
-            row.append(at.astype(np.int64) + starts[o - 1])
-        out.append(row)
-    return out
-
-
-def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log odds of a one, of counts."""
-    return np.log((n1 + 0.05) / (n0 + 0.05))
-
-
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
-
-
-def _bucket(n: np.ndarray) -> np.ndarray:
-    """0, 1, 2-3, 4-15, 16 and more."""
-    return (n > 0.5).astype(np.int64) + (n > 1.5) + (n > 3.5) + (n > 15.5)
-
-
-GATES = 5 * 5 * 2 * 8
-
-
-class Mixer:
-    """The predictors' counts, the weights and the refining map."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, bits: int, weights: np.ndarray | None = None, refine: np.ndarray | None = None) -> None:
-        self.zeros, self.ones, self.bits, self.refine = zeros, ones, bits, refine
-        self.weights = np.full((GATES, ORDERS + 1), 0.25) if weights is None else weights
-        self.slopes = np.full((GATES, ORDERS + 1), 1e-4)
-        self.kept = (np.full(1 << KEPT_BITS, ~_U(0)), np.zeros(1 << KEPT_BITS))
-
-    def inputs(self, slots: list[np.ndarray], place: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each order (and a constant), and the gate. own: the bits whose occurrence is left out."""
-        x = np.empty((len(slots[0]), ORDERS + 1))
-        x[:, ORDERS] = 0.3
-        seen = []
-        for o, at in enumerate(slots):
-            n0, n1 = self.zeros[at].astype(np.float64), self.ones[at].astype(np.float64)
-            if own is not None:
-                n0, n1 = np.maximum(n0 - (1 - own), 0), np.maximum(n1 - own, 0)
-            x[:, o] = _stretch(n0, n1)
-            seen.append(n0 + n1)
-        gate = ((_bucket(seen[-1]) * 5 + _bucket(seen[-2])) * 2 + (seen[-3] > 3.5)) * 8 + place
-        return x, gate
-
-    def learn(self, keys: np.ndarray, times: np.ndarray) -> None:
-        """One online step a bit, over a block of rows; a weight's steps get smaller as its gradients add up."""
-        for place, slots in enumerate(slots_of(keys, self.bits)):
-            bit = ((keys >> _U(7 - place)) & _U(1)).astype(np.float64)
-            x, gate = self.inputs(slots, place, bit)
-            miss = (bit - _squash((self.weights[gate] * x).sum(axis=1))) * times
-            total = np.maximum(np.bincount(gate, times, GATES), 1e-9)
-            slope = np.stack([np.bincount(gate, miss * x[:, o], GATES) for o in range(ORDERS + 1)], axis=1) / total[:, None]
-            self.slopes += slope * slope
-            self.weights += RATE * slope / np.sqrt(self.slopes)
-            np.clip(self.weights, -4, 4, out=self.weights)
+class _Classes(dict):
+    """Word -> the byte that says what class it is, as the word before another."""
 
-    def mapped(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Weighted numbers of bits and of ones for each cell of the refining map."""
-        out = np.zeros((2, 256 * STEPS))
-        for place, slots in enumerate(slots_of(keys, self.bits)):
-            bit = ((keys >> _U(7 - place)) & _U(1)).astype(np.float64)
-            x, gate = self.inputs(slots, place, bit)
-            low, part = _cell((self.weights[gate] * x).sum(axis=1), keys, place)
-            for at, share in ((low, 1 - part), (low + 1, part)):
-                out[0] += np.bincount(at, share * times, 256 * STEPS)
-                out[1] += np.bincount(at, share * times * bit, 256 * STEPS)
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        kind = 1 + zlib.crc32(word) % 191 if len(word) < 4 else 192 + zlib.crc32(word[-2:]) % 64
+        self[word] = out = bytes((kind,))
         return out
 
-    def costs(self, keys: np.ndarray) -> np.ndarray:
-        """Bits that each key's byte costs."""
-        out = np.zeros(len(keys))
-        for place, slots in enumerate(slots_of(keys, self.bits)):
-            bit = ((keys >> _U(7 - place)) & _U(1)).astype(bool)
-            x, gate = self.inputs(slots, place, None)
-            z = (self.weights[gate] * x).sum(axis=1)
-            p = _squash(z)
-            if self.refine is not None:
-                low, part = _cell(z, keys, place)
-                p = (p + self.refine[low] * (1 - part) + self.refine[low + 1] * part) / 2
-            out -= np.log2(np.clip(np.where(bit, p, 1 - p), 1e-6, 1 - 1e-6))
-        return out
 
-    def total_bits(self, texts: list[bytes]) -> np.ndarray:
-        """Bits that each text and its end cost. What a key costs is kept, so frequent ones are worked out once."""
-        keys, begins = keys_of(texts)
-        known, value = self.kept
-        at = (_mix(keys) >> _U(64 - KEPT_BITS)).astype(np.int64)
-        bits = value[at]
-        new = known[at] != keys
-        if new.any():
-            distinct, place = np.unique(keys[new], return_inverse=True)
-            cost = np.concatenate([self.costs(distinct[k : k + 65536]) for k in range(0, len(distinct), 65536)])
-            bits[new] = cost[place]
-            slot = (_mix(distinct) >> _U(64 - KEPT_BITS)).astype(np.int64)
-            known[slot], value[slot] = distinct, cost
-        return np.add.reduceat(bits, begins)
-
-
-def _cell(z: np.ndarray, keys: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower of the two cells of the refining map that log odds lie between, and how far up from it."""
-    at = (np.clip(z, -7.999, 7.999) + 8) * ((STEPS - 1) / 16)
-    low = at.astype(np.int64)
-    so_far = ((1 << place) | ((keys & _U(0xFF)) >> _U(8 - place)).astype(np.int64)) * STEPS
-    return so_far + low, at - low
+def pairs_of(text: bytes | None, classes: _Classes):
+    """The (class, word) pairs of a text, as one key each, in order; the end is one of them."""
+    before = START
+    for part in pieces(text or b"", _SPACE):
+        if words := part.lower().split():
+            yield from map(operator.add, [before, *map(classes.__getitem__, words[:-1])], words)
+            before = classes[words[-1]]
+    yield before + END
 
 
-def _count_keys(texts: DataFrame) -> DataFrame:
-    """(key, n): how often each ORDERS + 1 bytes stand in the texts."""
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(key, n, m) of (text, learned from): how often training and all texts have each pair."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting, size = [], 0
-
-        def merge() -> None:
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            held[:] = [(keys[first], np.add.reduceat(n, first))]
-
-        def take() -> None:
-            nonlocal waiting, size
-            if waiting:
-                held.append(np.unique(keys_of(waiting)[0], return_counts=True))
-                waiting, size = [], 0
-                if sum(len(k) for k, _ in held) > 2 * GATHERED:
-                    merge()
-
-        def out() -> pa.RecordBatch:
-            merge()
-            keys, n = held.pop()
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
+        seen, rest, classes = Counter(), Counter(), _Classes()
+
+        def out():
+            keys = list(seen.keys() | rest.keys())
+            n = [seen.get(k, 0) for k in keys]
+            m = [a + rest.get(k, 0) for a, k in zip(n, keys, strict=True)]
+            seen.clear()
+            rest.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["key", "n", "m"])
 
         for batch in batches:
-            for data in binary_list(batch.column(0)):
-                waiting.append(plain(data))
-                size += len(waiting[-1])
-                if size > SCORED_BYTES:
-                    take()
-            if held and len(held[0][0]) > GATHERED:
-                yield out()
-        take()
-        if held:
+            for data, own in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                (seen if own else rest).update(pairs_of(data, classes))
+                if len(seen) + len(rest) > 400_000:
+                    yield out()
+        if seen or rest:
             yield out()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+class Spelled:
+    """Keys as one run of bytes: each word and the blank behind it."""
+
+    def __init__(self, keys: pa.Array) -> None:
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+        data = np.frombuffer(keys.buffers()[2], np.uint8) if len(keys) else np.empty(0, np.uint8)
+        self.kinds = data[offsets[:-1]]
+        # A key's first byte is its class; in its place stands the blank behind the word before.
+        self.lengths = np.diff(offsets)
+        self.starts = offsets[:-1] - offsets[0]
+        self.bytes = np.append(data[offsets[0] + 1 : offsets[-1]], np.uint8(GAP)) if len(keys) else data
+        self.bytes = self.bytes.copy()
+        self.bytes[self.starts[1:] - 1] = GAP
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Word, place in it, and the 4 bytes before (the word's beginning counts as a blank, before it are zeros)."""
+        word = np.searchsorted(self.starts, at, "right") - 1
+        place = at - self.starts[word]
+        back = []
+        for k in range(1, max(SHORT) + 1):
+            byte = self.bytes[np.maximum(at - k, 0)].astype(_U)
+            back.append(np.where(place >= k, byte, np.where(place == k - 1, _U(GAP), _U(0))))
+        return word, place, back
+
+    def contexts(self, at: np.ndarray) -> list[np.ndarray]:
+        """A hash for each of the hashed tables; the last one is 0 where the table has none."""
+        word, place, back = self.around(at)
+        out, so_far = [], np.zeros(len(at), _U)
+        for k, byte in enumerate(back, 1):
+            so_far = so_far | byte << _U(8 * (k - 1))
+            if k in SHORT:
+                where = np.minimum(place, LIMIT).astype(_U) << _U(48) if k == SHORT[0] else _U(0)
+                out.append(mix(so_far + where + _U(k << 58)))
+        begun = mix((so_far << _U(16)) | (self.kinds[word].astype(_U) << _U(8)) | place.astype(_U))
+        out.append(np.where(place < SPLIT, begun | _U(1), _U(0)))
+        return out
+
 
+_STARTS = np.cumsum([0, *(1 << b for b in BITS)])
+SLOTS = int(_STARTS[-1])
 
-def _rows(batches):
-    """Blocks of (keys, n)."""
-    for batch in batches:
-        yield batch.column(0).to_numpy().astype(_U), batch.column(1).to_numpy().astype(np.float64)
 
+def _slots(contexts: list[np.ndarray], byte: np.ndarray, bit: int) -> list[np.ndarray]:
+    """For each hashed table: the slot of the bit's context."""
+    so_far = (_U(1 << bit) | (byte.astype(_U) >> _U(8 - bit))) * _U(0xD6E8FEB86659FD93)
+    return [(mix(c + so_far) >> _U(64 - b)).astype(np.int64) + s for c, b, s in zip(contexts, BITS, _STARTS, strict=False)]
 
-def learn(texts: DataFrame) -> dict:
-    """The model, of all rows of the one text column."""
-    spark = session(texts.sparkSession)
-    counted = written(_count_keys(texts), "contexts")
-    rows = counted.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) * SLOTS_PER_ROW))))
-    total = sum(1 << s for s in sizes_of(bits))
+
+def _hashed_counts(counted: DataFrame) -> dict[int, bytes]:
+    """Pages of the hashed tables' counts, compressed."""
 
     def slots(batches):
         held, size = [], 0
@@ -281,16 +184,22 @@ def learn(texts: DataFrame) -> dict:
                 pages.append(zlib.compress((distinct[lo:hi] % PAGE).astype("<u2").tobytes() + counts[:, lo:hi].tobytes(), 1))
             return pa.RecordBatch.from_arrays([pa.array(distinct[edges] // PAGE), pa.array(pages, pa.binary())], names=["page", "part"])
 
-        for keys, n in _rows(batches):
-            for place, row in enumerate(slots_of(keys, bits)):
-                one = ((keys >> _U(7 - place)) & _U(1)).astype(np.float64)
-                for at in row:
-                    held.append((at, n * (1 - one), n * one))
-                    size += len(at)
-            if size > 2 * GATHERED:
-                yield out()
-                size = 0
-        if held:
+        for batch in batches:
+            spelled, times = Spelled(batch.column(0)), batch.column(1).to_numpy().astype(np.float64)
+            for first in range(0, len(spelled.bytes), LOOKED_AT):
+                at = np.arange(first, min(first + LOOKED_AT, len(spelled.bytes)))
+                contexts, byte = spelled.contexts(at), spelled.bytes[at]
+                n = times[np.searchsorted(spelled.starts, at, "right") - 1]
+                for bit in range(8):
+                    one = (byte >> (7 - bit)) & 1
+                    for context, slot in zip(contexts, _slots(contexts, byte, bit), strict=True):
+                        has = context != 0
+                        held.append((slot[has], (n * (1 - one))[has], (n * one)[has]))
+                        size += len(held[-1][0])
+                if size > 2 * GATHERED:
+                    yield out()
+                    size = 0
+        if size:
             yield out()
 
     def page(group: pa.Table) -> pa.Table:
@@ -303,149 +212,296 @@ def learn(texts: DataFrame) -> dict:
         n *= np.minimum(1, 60_000 / np.maximum(n.max(axis=0), 1))
         return pa.table([pa.array([group.column("page")[0].as_py()], pa.int64()), pa.array([zlib.compress(n.astype(np.float16).tobytes(), 1)], pa.binary())], names=["page", "counts"])
 
-    pages = {r["page"]: bytes(r["counts"]) for r in counted.mapInArrow(slots, "page long, part binary").groupBy("page").applyInArrow(page, "page long, counts binary").toLocalIterator()}
-    model = {"pages": pages, "slots": total, "bits": bits, "weights": None, "refine": None}
-    shared = spark.sparkContext.broadcast(model)
-    # Rows in the order of a hash, so that a block is a fair sample.
-    shuffled = counted.repartition("key").sortWithinPartitions(F.xxhash64(F.lit(3), "key"))
-
-    def weigh(batches):
-        mixer, seen = mixer_of(shared.value, fresh=True), 0.0
-        for keys, n in _rows(batches):
-            for at in range(0, len(keys), BLOCK):
-                mixer.learn(keys[at : at + BLOCK], n[at : at + BLOCK])
-            seen += len(keys)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([mixer.weights.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "w"])
-
-    weights, seen = np.zeros(GATES * (ORDERS + 1)), 0.0
-    parts = shuffled.mapInArrow(weigh, "n double, w array<double>").select("n", F.posexplode("w").alias("k", "w"))
-    for r in parts.groupBy("k").agg(F.sum(F.col("n") * F.col("w")).alias("w"), F.sum("n").alias("n")).toLocalIterator():
-        weights[r["k"]], seen = r["w"] / r["n"], r["n"]
-    if not seen:
-        return model | {"weights": np.zeros((GATES, ORDERS + 1))}
-    mixed = spark.sparkContext.broadcast(weights.reshape(GATES, ORDERS + 1))
-
-    def refine(batches):
-        mixer, out = mixer_of(shared.value), np.zeros((2, 256 * STEPS))
-        mixer.weights = mixed.value
-        for keys, n in _rows(batches):
-            for at in range(0, len(keys), 65536):
-                out += mixer.mapped(keys[at : at + 65536], n[at : at + 65536])
-        used = np.flatnonzero(out[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[0][used]), pa.array(out[1][used])], names=["k", "n", "ones"])
-
-    cells = np.tile(_squash(np.arange(STEPS) * (16 / (STEPS - 1)) - 8), 256)
-    for r in counted.mapInArrow(refine, "k long, n double, ones double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toLocalIterator():
-        cells[r["k"]] = (r["ones"] + 20 * cells[r["k"]]) / (r["n"] + 20)
-    shared.destroy()
-    return model | {"weights": mixed.value, "refine": cells}
-
-
-def mixer_of(model: dict, fresh: bool = False) -> Mixer:
-    """The model's mixer, made once for all tasks of a worker (which then keeps the costs it has worked out)."""
-    if "counts" not in model:
-        n = np.zeros((2, -(-model["slots"] // PAGE) * PAGE), np.float16)
-        for page, data in model["pages"].items():
-            n[:, page * PAGE : (page + 1) * PAGE] = np.frombuffer(zlib.decompress(data), np.float16).reshape(2, PAGE)
-        model["counts"] = n
-    if fresh or "mixer" not in model:
-        mixer = Mixer(*model["counts"], model["bits"], model["weights"], model["refine"])
-        if fresh:
-            return mixer
-        model["mixer"] = mixer
-    return model["mixer"]
+    parts = counted.where("n > 0").select("key", "n").mapInArrow(slots, "page long, part binary")
+    return {r["page"]: bytes(r["counts"]) for r in parts.groupBy("page").applyInArrow(page, "page long, counts binary").toLocalIterator()}
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) of the lower-cased words of one text column."""
+def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log odds of a one, of counts."""
+    return np.log((n1 + 0.05) / (n0 + 0.05))
 
-    def run(batches):
-        seen: Counter[bytes] = Counter()
 
-        def out():
-            rows = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return rows
+def _squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
-        for batch in batches:
-            for data in binary_list(batch.column(0)):
-                for part in pieces(data or b"", _SPACE):
-                    seen.update(part.lower().split())
-                    if len(seen) > 400_000:
-                        yield out()
-        if seen:
-            yield out()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _bucket(n: np.ndarray) -> np.ndarray:
+    """0, 1, 2-3, 4-15, 16 and more."""
+    return (n > 0.5).astype(np.int64) + (n > 1.5) + (n > 3.5) + (n > 15.5)
+
+
+GATES = 5 * 5 * 2 * 8
+
+
+def _cell(z: np.ndarray, byte: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower of the two cells of the refining map that log odds lie between, and how far up from it."""
+    at = (np.clip(z, -7.999, 7.999) + 8) * ((STEPS - 1) / 16)
+    low = at.astype(np.int64)
+    return ((1 << bit) | (byte.astype(np.int64) >> (8 - bit))) * STEPS + low, at - low
+
+
+class Edges:
+    """The distinct steps from a beginning of a pair's word to its next byte, of one group of pairs."""
+
+    def __init__(self, keys: pa.Array, times: np.ndarray) -> None:
+        self.spelled = spelled = Spelled(keys)
+        n_bytes = len(spelled.bytes)
+        self.of = np.zeros(n_bytes, np.int64)  # of each byte, its edge
+        words = np.arange(len(spelled.starts))
+        node = {"word": np.zeros(len(words), np.int64), "pair": spelled.kinds.astype(np.int64)}
+        at, byte, weight, counts, size = [], [], [], {"word": [], "pair": []}, 0
+        for level in range(LIMIT):
+            words = words[spelled.lengths[words] > level]
+            if not len(words):
+                break
+            here = spelled.starts[words] + level
+            n, step = times[words], spelled.bytes[here].astype(np.int64)
+            found = {}
+            for kind in ("word", "pair"):
+                edge, first, place = np.unique(node[kind][words] << 8 | step, return_index=True, return_inverse=True)
+                found[kind] = (edge, first, place, np.bincount(place, n))
+                node[kind][words] = place
+            edge, first, place, total = found["pair"]
+            self.of[here] = size + place
+            size += len(edge)
+            at.append(here[first])
+            byte.append(step[first])
+            weight.append(total)
+            for kind, pick in (("word", found["word"][2][first]), ("pair", None)):
+                split = self._splits(found[kind][0], found[kind][3]) if level >= SPLIT else np.zeros((16, len(found[kind][0])), np.float32)
+                counts[kind].append(split if pick is None else split[:, pick])
+        # What lies further on in a word is a step of its own.
+        lengths = spelled.lengths
+        far = np.flatnonzero(np.arange(n_bytes) - np.repeat(spelled.starts, lengths) >= LIMIT)
+        self.of[far] = size + np.arange(len(far))
+        at.append(far)
+        byte.append(spelled.bytes[far].astype(np.int64))
+        weight.append(np.repeat(times, lengths)[far])
+        none = np.zeros((16, len(far)), np.float32)
+        self.at, self.byte, self.weight = (np.concatenate(x) for x in (at, byte, weight))
+        self.counts = {kind: np.concatenate([*own, none], axis=1) for kind, own in counts.items()}
+
+    @staticmethod
+    def _splits(edges: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """For sorted edges (node, byte) and their counts: zeros and ones at each bit on the way to the byte."""
+        sums = np.concatenate(([0.0], np.cumsum(total)))
+        out = np.empty((16, len(edges)), np.float32)
+        low, value = np.searchsorted(edges, edges & ~0xFF), edges & ~0xFF
+        high = np.searchsorted(edges, (edges | 0xFF) + 1)
+        for bit in range(8):
+            middle = value + (128 >> bit)
+            mid = np.searchsorted(edges, middle)
+            out[2 * bit], out[2 * bit + 1] = sums[mid] - sums[low], sums[high] - sums[mid]
+            one = (edges >> (7 - bit)) & 1 > 0
+            low, high, value = np.where(one, mid, low), np.where(one, high, mid), np.where(one, middle, value)
+        return out
 
 
-def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, n_tokens, n_known, train_tokens, base_score, score (both log10) and bits_per_byte (of plain bytes)."""
+class Mixer:
+    """The hashed tables, the weights and the refining map."""
+
+    def __init__(self, hashed: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None) -> None:
+        self.hashed, self.refine = hashed, refine
+        self.weights = np.full((GATES, PREDICTORS + 1), 0.25) if weights is None else weights.copy()
+        self.slopes = np.full((GATES, PREDICTORS + 1), 1e-4)
+
+    def inputs(self, edges: Edges, own: np.ndarray, contexts: list[np.ndarray], bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bit, the log odds of each predictor (and a constant), and the gate, of the edges `own`."""
+        byte = edges.byte[own]
+        one = ((byte >> (7 - bit)) & 1).astype(np.float64)
+        x = np.empty((len(own), PREDICTORS + 1))
+        x[:, PREDICTORS] = 0.3
+        slots = _slots(contexts, byte, bit)
+        seen = []
+        for k in range(PREDICTORS):
+            if k < len(SHORT):
+                n0, n1 = (self.hashed[v][slots[k]].astype(np.float64) for v in (0, 1))
+            elif k == len(SHORT):
+                n0, n1 = (edges.counts["word"][2 * bit + v][own].astype(np.float64) for v in (0, 1))
+            else:
+                has = contexts[-1] != 0
+                n0, n1 = (np.where(has, self.hashed[v][slots[-1]], edges.counts["pair"][2 * bit + v][own]).astype(np.float64) for v in (0, 1))
+            if leave_out:
+                n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
+            x[:, k] = _stretch(n0, n1)
+            seen.append(n0 + n1)
+        gate = ((_bucket(seen[-2]) * 5 + _bucket(seen[-1])) * 2 + (seen[len(SHORT) - 1] > 3.5)) * 8 + bit
+        return one, x, gate
+
+    def learn(self, edges: Edges, own: np.ndarray) -> None:
+        """One online step a bit, over a block of edges; a weight's steps get smaller as its gradients add up."""
+        contexts, times = edges.spelled.contexts(edges.at[own]), edges.weight[own]
+        for bit in range(8):
+            one, x, gate = self.inputs(edges, own, contexts, bit, True)
+            miss = (one - _squash((self.weights[gate] * x).sum(axis=1))) * times
+            total = np.maximum(np.bincount(gate, times, GATES), 1e-9)
+            slope = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(PREDICTORS + 1)], axis=1) / total[:, None]
+            self.slopes += slope * slope
+            self.weights += RATE * slope / np.sqrt(self.slopes)
+            np.clip(self.weights, -4, 4, out=self.weights)
+
+    def mapped(self, edges: Edges, own: np.ndarray) -> np.ndarray:
+        """Weighted numbers of bits and of ones for each cell of the refining map."""
+        out = np.zeros((2, 256 * STEPS))
+        contexts, times = edges.spelled.contexts(edges.at[own]), edges.weight[own]
+        for bit in range(8):
+            one, x, gate = self.inputs(edges, own, contexts, bit, True)
+            low, part = _cell((self.weights[gate] * x).sum(axis=1), edges.byte[own], bit)
+            for at, share in ((low, 1 - part), (low + 1, part)):
+                out[0] += np.bincount(at, share * times, 256 * STEPS)
+                out[1] += np.bincount(at, share * times * one, 256 * STEPS)
+        return out
+
+    def costs(self, edges: Edges, own: np.ndarray) -> np.ndarray:
+        """Bits that each edge's byte costs."""
+        out = np.zeros(len(own))
+        contexts = edges.spelled.contexts(edges.at[own])
+        for bit in range(8):
+            one, x, gate = self.inputs(edges, own, contexts, bit, False)
+            z = (self.weights[gate] * x).sum(axis=1)
+            p = _squash(z)
+            if self.refine is not None:
+                low, part = _cell(z, edges.byte[own], bit)
+                p = (p + self.refine[low] * (1 - part) + self.refine[low + 1] * part) / 2
+            out -= np.log2(np.clip(np.where(one > 0, p, 1 - p), 1e-6, 1 - 1e-6))
+        return out
+
+
+def _blocks(n: int, size: int, order: np.ndarray | None = None):
+    for first in range(0, n, size):
+        yield order[first : first + size] if order is not None else np.arange(first, min(first + size, n))
+
+
+def hashed_of(model: dict) -> np.ndarray:
+    """The hashed tables, unpacked once in a worker."""
+    if "hashed" not in model:
+        n = np.zeros((2, -(-SLOTS // PAGE) * PAGE), np.float16)
+        for page, data in model["pages"].items():
+            n[:, page * PAGE : (page + 1) * PAGE] = np.frombuffer(zlib.decompress(data), np.float16).reshape(2, PAGE)
+        model["hashed"] = n
+    return model["hashed"]
+
+
+def _sorted(group: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys, n and m in the order of the keys."""
+    group = group.sort_by("key")
+    return group.column("key").combine_chunks(), group.column("n").to_numpy().astype(np.float64), group.column("m").to_numpy()
+
+
+def word_costs(texts: DataFrame) -> DataFrame:
+    """(key, bits, n_word, n, m, lead) of the pairs of (text, learned from); lead: 1 for one pair of each word of training."""
+    spark = session(texts.sparkSession)
+    counted = written(count_pairs(texts), "pairs")
+    rows, learned = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, -(-rows // GROUP_ROWS))
+    begin = F.expr(f"substring(key, 2, {SPLIT})")
+    grouped = counted.withColumn("g", F.pmod(F.xxhash64(begin), F.lit(groups)).cast("int"))
+    shared = spark.sparkContext.broadcast({"pages": _hashed_counts(counted) if learned else {}})
+    weights, cells = np.zeros((GATES, PREDICTORS + 1)), np.tile(_squash(np.arange(STEPS) * (16 / (STEPS - 1)) - 8), 256)
+    if learned:
+
+        def learn(group: pa.Table) -> pa.Table:
+            keys, n, _ = _sorted(group)
+            edges, mixer = Edges(keys, n), Mixer(hashed_of(shared.value))
+            own = np.flatnonzero(edges.weight > 0)
+            own = own[np.argsort(mix(own.astype(_U) + _U(3)), kind="stable")]
+            for _ in range(-(-LEAST_BLOCKS * BLOCK // max(len(own), LEAST_BLOCKS))):
+                for block in _blocks(len(own), BLOCK, own):
+                    mixer.learn(edges, block)
+            cells = np.zeros((2, 256 * STEPS))
+            for block in _blocks(len(own), LOOKED_AT, own):
+                cells += mixer.mapped(edges, block)
+            row = [group.column("g")[:1].to_pylist(), [float(edges.weight.sum())], [mixer.weights.ravel().tolist()], [cells.ravel().tolist()]]
+            return pa.table([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2], pa.list_(pa.float64())), pa.array(row[3], pa.list_(pa.float64()))], names=["g", "n", "w", "c"])
+
+        # Sums by number, so that the driver gets one row for each; floats are added in the groups' order.
+        parts = written(grouped.where("n > 0").groupBy("g").applyInArrow(learn, "g int, n double, w array<double>, c array<double>"), "weights")
+        in_order = lambda value: F.aggregate(F.array_sort(F.collect_list(F.struct("g", value.alias("x")))), F.lit(0.0), lambda a, s: a + s["x"])
+        total = parts.agg(in_order(F.col("n"))).first()[0]
+        flat = parts.select("g", "n", F.posexplode("w").alias("k", "w")).groupBy("k").agg(in_order(F.col("n") * F.col("w")).alias("w"))
+        for r in flat.toLocalIterator():
+            weights.flat[r["k"]] = r["w"] / total
+        both = np.zeros(2 * 256 * STEPS)
+        for r in parts.select("g", F.posexplode("c").alias("k", "c")).where("c <> 0").groupBy("k").agg(in_order(F.col("c")).alias("c")).toLocalIterator():
+            both[r["k"]] = r["c"]
+        seen, ones = both.reshape(2, -1)
+        cells = (ones + 20 * cells) / (seen + 20)
+    mixed = spark.sparkContext.broadcast((weights, cells if learned else None))
+
+    def cost(group: pa.Table) -> pa.Table:
+        keys, n, m = _sorted(group)
+        edges, mixer = Edges(keys, n), Mixer(hashed_of(shared.value), *mixed.value)
+        each = np.concatenate([mixer.costs(edges, block) for block in _blocks(len(edges.at), LOOKED_AT)])
+        bits = np.add.reduceat(each[edges.of], edges.spelled.starts)
+        total: Counter[bytes] = Counter()
+        words = [key[1:] for key in keys.to_pylist()]
+        for word, times in zip(words, n.tolist(), strict=True):
+            total[word] += int(times)
+        named, lead = set(), []
+        for word in words:
+            lead.append(int(total[word] > 0 and word not in named))
+            named.add(word)
+        return pa.table([keys, pa.array(bits), pa.array([total[w] for w in words], pa.int64()), pa.array(n.astype(np.int64)), pa.array(m), pa.array(lead, pa.int32())], names=["key", "bits", "n_word", "n", "m", "lead"])
+
+    return written(grouped.groupBy("g").applyInArrow(cost, "key binary, bits double, n_word long, n long, m long, lead int"), "costs")
+
+
+def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns, n_tokens, n_known, train_tokens, base_score, score (both log10) and bits_per_byte (of the words and blanks).
+
+    learned_from: a condition on docs; the model learns from the rows for which it holds.
+    """
     spark = session(docs.sparkSession)
-    texts = training.select(F.col(text).alias("t"))
-    words = written(count_words(texts), "words")
-    n_words, n_distinct, n_ends = (*words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first(), texts.count())
-    tokens, distinct = n_words + n_ends, n_distinct + (n_ends > 0)
-    least = max(2, -(-tokens // HEAVY))
-    heavy = {bytes(r["word"]): math.log10(r["n"] + 0.5) for r in words.where(F.col("n") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((heavy, learn(texts)))
+    costs = word_costs(docs.select(F.col(text).alias("t"), F.coalesce(learned_from, F.lit(False)).alias("own")))
+    tokens, distinct, every = costs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("lead"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    least = max(2, -(-every // HEAVY))
+    heavy = {bytes(r["key"]): (r["bits"], math.log10(r["n_word"] + 0.5), int(r["n_word"] > 0)) for r in costs.where(F.col("m") >= least).toLocalIterator()}
+    shared = spark.sparkContext.broadcast(heavy)
     scale = math.log10(tokens + 0.5 * (distinct + 1))
     source = docs.select(*keep, F.col(text).alias("__text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def make():
-        terms, model = shared.value
-        mixer = mixer_of(model)
+        known, classes = shared.value, _Classes()
         first, number = TaskContext.get().partitionId() << 33, 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal number
-            data = [plain(x) for x in binary_list(batch.column(len(keep)))]
-            rows, total = [], np.zeros(len(data))
-            for k, one in enumerate(data):
-                seen: Counter[bytes] = Counter()
-                for part in pieces(one, _SPACE):
-                    seen.update(part.split())
-                rare = [(w, n) for w, n in seen.items() if w not in terms]
-                n = sum(seen.values()) + 1
-                rows.append((first + number, n, n - 1 - sum(x for _, x in rare), sum(terms[w] * x for w, x in seen.items() if w in terms), len(one), [{"word": w, "n": x} for w, x in rare]))
+            rows = []
+            for data in binary_list(batch.column(len(keep))):
+                seen = Counter(pairs_of(data, classes))
+                rare = [(key, n) for key, n in seen.items() if key not in known]
+                often = [(known[key], n) for key, n in seen.items() if key in known]
+                size = sum(len(key) * n for key, n in seen.items()) - 1  # the end is one byte
+                bits, base, found = (math.fsum(value[k] * n for value, n in often) for k in range(3))
+                rows.append((first + number, sum(seen.values()), int(found), base, size, bits, [{"key": key, "n": n} for key, n in rare]))
                 number += 1
-            # A longer text is one of its own.
-            at = 0
-            while at < len(data):
-                end, size = at, 0
-                while end < len(data) and (end == at or size + len(data[end]) < SCORED_BYTES):
-                    size += len(data[end])
-                    end += 1
-                total[at:end] = mixer.total_bits(data[at:end])
-                at = end
             columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(len(keep))), *(pa.array(columns[k], pa.int64()) for k in (0, 1, 2)), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64()), pa.array(total), pa.array(columns[5], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                names=[*keep, "__row", "n_tokens", "__known", "__base", "__bytes", "__bits", "__rare"],
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())])))
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=[*keep, "__row", "n_tokens", "__known", "__base", "__bytes", "__bits", "__rare"])
 
         return step
 
-    scored = written(arrow_map(source, make, f"{kind}, __row long, n_tokens long, __known long, __base double, __bytes long, __bits double, __rare array<struct<word:binary,n:long>>"), "scored")
-    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", F.col("r.n").alias("times"))
-    counted = rare.join(words.where(F.col("n") < least), "word", "left")
-    added = counted.groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("__more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("__found"))
+    scored = written(arrow_map(source, make, schema_with(source, keep, "__row long, n_tokens long, __known long, __base double, __bytes long, __bits double, __rare array<struct<key:binary,n:long>>")), "scored")
+    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.key", F.col("r.n").alias("times"))
+    found = rare.join(costs.where(F.col("m") < least).select("key", "bits", "n_word"), "key")
+    # Decimals add up to the same sum in any order.
+    exact = lambda x: F.sum(x.cast("decimal(30,12)"))
+    added = found.groupBy("__row").agg(exact(F.col("times") * F.log10(F.col("n_word") + 0.5)).alias("__more"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("__found"), exact(F.col("times") * F.col("bits")).alias("__cost"))
     whole = scored.drop("__rare").join(added, "__row", "left")
-    base = F.col("__base") + F.coalesce("__more", F.lit(0.0)) + F.lit(math.log10(n_ends + 0.5)) - F.col("n_tokens") * F.lit(scale)
+    of = lambda name, kind: F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind))
+    bits = F.col("__bits") + of("__cost", "double")
     return whole.select(
         *keep,
         "n_tokens",
-        (F.col("__known") + F.coalesce("__found", F.lit(0)) + F.lit(int(n_ends > 0))).cast("long").alias("n_known"),
+        (F.col("__known") + of("__found", "long")).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (-F.col("__bits") * math.log10(2)).alias("score"),
-        (F.col("__bits") / F.greatest("__bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("__base") + of("__more", "double") - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
+        (-bits * math.log10(2)).alias("score"),
+        (bits / F.col("__bytes")).alias("bits_per_byte"),
     )
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, docs.where(remainder(F.col("doc_id"), 5) != 1), ["doc_id"])
+    scored = score(docs, remainder(F.col("doc_id"), 5) != 1, ["doc_id"])
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

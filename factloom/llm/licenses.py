@@ -4,13 +4,17 @@ The automaton runs once over a text's words (lower case, one blank between them)
 phrases of well-known licenses, and the words of an identifier tag. Behind each tag, the expression is read from the
 original text and parsed by operator precedence (WITH before AND before OR) into postfix order, which is evaluated
 to the set of licenses it names and to how freely it lets one use the text (OR: the better, AND: the worse side).
+An expression may be of any length. It ends where its grammar does, with its line, or at the next tag; behind an operator
+in lower case, only a name that looks like a license (see _like_a_license) goes on with it, anything else is prose. Each
+tag's labels stand at the tag's own place.
 
 score: how sure it is that the text states a license, 1 - product of (1 - weight) over the distinct statements.
 freedom (more than the contract asks): 0 to 1, the worst over all labels and expressions; null without any.
 
 Edge cases: null and empty texts have no statements and score 0; a tag without a readable expression counts as the
 label `unknown`; an expression that breaks off is evaluated as far as it goes. Repeated rows and null ids come out as
-they came in.
+they came in; an empty table gives no rows. Columns other than the kept ones are never looked at; kept columns may not
+be named __n_words or __found.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import arrow_map, binary_list, pieces, table
+from factloom.llm.common import arrow_map, binary_list, pieces, schema_with, table
 from factloom.llm.decontaminate import _GAP, words_of
 
 #: The base phrases and their labels.
@@ -47,6 +51,30 @@ NOTICES = {
     "cc0": "cc0",
     "isc license": "isc",
     "unlicense": "unlicense",
+    "gplv2": "gpl",
+    "gplv3": "gpl",
+    "lgplv3": "lgpl",
+    "agplv3": "agpl",
+    "gnu free documentation license": "gfdl",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "creative commons zero": "cc0",
+    "bsd 2 clause": "bsd-2-clause",
+    "bsd 3 clause": "bsd-3-clause",
+    "eclipse public license": "epl",
+    "boost software license": "bsl-1.0",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
+    "european union public licence": "eupl",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "open data commons attribution": "odc-by",
+    "python software foundation license": "psf",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "proprietary and confidential": "proprietary",
 }
 TAG = "spdx license identifier"
 #: Weight of a statement, and how freely a family of licenses lets one use the text; unknown names count as 0.2.
@@ -54,7 +82,10 @@ WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.6}
 FREEDOM = {"mit": 1.0, "isc": 1.0, "bsd": 1.0, "apache": 1.0, "unlicense": 1.0, "cc0": 1.0, "public": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "lgpl": 0.5, "epl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "proprietary": 0.0, "reserved": 0.0}
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
-_EXPRESSION = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\x20\t]*:?[\x20\t]*")
+_TAG = rb"(?<![0-9a-zA-Z\x80-\xff])spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier(?![0-9a-zA-Z\x80-\xff])"
+_EXPRESSION = re.compile(rb"(?i)" + _TAG + rb"[\x20\t]*:?[\x20\t]*")
+#: Names of well-known licenses; a version or a variant may follow.
+_FAMILY = re.compile(r"(?i)(?:mit|isc|zlib|unlicense|x11|wtfpl|0bsd|bsd|apache|[al]?gpl|gfdl|mpl|epl|eupl|cddl|cc|cc0|bsl|ofl|odbl|artistic|psf|python|ms|sspl|busl|licenseref)(?:[0-9.+:-].*)?$")
 _TOKEN_OR_END = re.compile(_TOKEN.pattern.encode() + rb"|[\r\n]")
 
 
@@ -67,18 +98,23 @@ def freedom_of(label: str) -> float:
 
 
 def _tokens(data: bytes, at: int) -> Iterator[str]:
-    """Tokens from `at` to the end of the line, read as they are asked for; they are ASCII."""
+    """Tokens from `at` to the end of the line or the next tag, read as they are asked for; they are ASCII."""
     for m in _TOKEN_OR_END.finditer(data, at):
-        if m[0] in b"\r\n":
+        if m[0] in b"\r\n" or _EXPRESSION.match(data, m.start()):
             return
         yield m[0].decode()
 
 
+def _like_a_license(token: str) -> bool:
+    """A well-known name, or one with a digit or with a hyphen between capitalised parts, as identifiers have."""
+    return bool(_FAMILY.match(token)) or bool(re.search(r"[0-9]|^[A-Z][A-Za-z]*-[A-Z]", token))
+
+
 def postfix(tokens: Iterable[str]) -> list[str]:
     """Shunting yard: operands in order, each operator behind its two sides. Stops where the expression does."""
     out: list[str] = []
     held: list[str] = []
-    operand = True
+    operand, sure = True, True  # whether an operand comes next, and whether it may be any name
     for token in tokens:
         low = token.lower()
         if low in _PRECEDENCE:
@@ -87,7 +123,7 @@ def postfix(tokens: Iterable[str]) -> list[str]:
             while held and held[-1] != "(" and _PRECEDENCE[held[-1]] >= _PRECEDENCE[low]:
                 out.append(held.pop())
             held.append(low)
-            operand = True
+            operand, sure = True, token != low or low == "with"
         elif token == "(":
             if not operand:
                 break
@@ -99,12 +135,15 @@ def postfix(tokens: Iterable[str]) -> list[str]:
                 out.append(held.pop())
             held.pop()
         else:
-            if not operand:
+            if not operand or not (sure or _like_a_license(token)):
                 break
             out.append(low)
-            operand = False
-    if operand and held and held[-1] in _PRECEDENCE:
-        held.pop()
+            operand, sure = False, True
+    if operand:
+        while held and held[-1] == "(":
+            held.pop()
+        if held:
+            held.pop()
     out += [x for x in reversed(held) if x != "("]
     return out
 
@@ -154,10 +193,9 @@ def scan(data: bytes | None, machine: ahocorasick.Automaton) -> tuple[int, list[
                 found += [(base + place, n, kind, label) for kind, label in what]
         total = base + len(words)
         carry = words[max(0, len(words) - longest) :]
-    if any(kind == "tag" for _, _, kind, _ in found):
-        at = min(x[0] for x in found if x[2] == "tag")
+    if places := sorted(w for w, _, kind, _ in found if kind == "tag"):
         found = [x for x in found if x[2] != "tag"]
-        for m in _EXPRESSION.finditer(data):
+        for at, m in zip(places, _EXPRESSION.finditer(data), strict=True):
             value = evaluate(postfix(_tokens(data, m.end())))
             found += [(at, 3, "tag", label) for label in sorted(value[0] if value else {"unknown"})]
             found.append((at, 3, "freedom", str(value[1] if value else 0.2)))
@@ -170,7 +208,6 @@ _FOUND = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("kind
 def license_statements(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, __n_words and __found: all statements with their first word, kind and label."""
     source = docs.select(*keep, docs[text].alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def make():
         machine = automaton()
@@ -182,7 +219,7 @@ def license_statements(docs: DataFrame, keep: list[str], text: str = "text") ->
 
         return step
 
-    return arrow_map(source, make, f"{ddl}, __n_words long, __found array<struct<word:long,words:long,kind:string,label:string>>")
+    return arrow_map(source, make, schema_with(source, keep, "__n_words long, __found array<struct<word:long,words:long,kind:string,label:string>>"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
 
+This is the SimHash operator's form for that rule. Its fingerprints are those of five-word shingles, and its trie self-join
+proposes the first pairs: equal fingerprints and those that differ in two bits or fewer. But two sets of that similarity
+differ in 10 of 64 bits on average, in up to 17, and a trie can't prune before the budget is spent. So what the trie
+leaves out is found by a prefix filter, in two more rounds; all pairs, from wherever, are verified by the sets themselves.
+
 Of two sets that are so similar, the first 0.2 * n + 1 shingles in any order that holds for all sets have one in
 common. The order puts shingles that stand in many documents last (counted in one of SAMPLE sets), the others by their
 hash. Each set is dealt out under its first shingles; sets that meet under one are candidates if their sizes and the
@@ -7,10 +12,10 @@ shingle's places still allow the similarity. Candidates that the parities of the
 rule out are compared by their whole sets. No link is left to chance;
 only the 64-bit hashes stand for the shingles and for equal sets.
 
-A large group is not compared pair by pair: in a first round, the sets under a shingle are compared with the smallest
-of similar size only, and the second round leaves out all pairs that the first one's links connect already.
+A large group is not compared pair by pair: in the prefix filter's first round, the sets under a shingle are compared with
+the smallest of similar size only, and each round leaves out all pairs that links connect already.
 
-Edge cases: of texts with fewer than five words all words are the one shingle; null and wordless texts have the empty
+Edge cases: columns of any names and types are carried through; an empty table gives no rows; of texts with fewer than five words all words are the one shingle; null and wordless texts have the empty
 set and are copies of one another. Ids and repeated rows are treated as in simhash_dedup.keep_one.
 """
 
@@ -24,10 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, binary_list, cut, pieces, session, written
+from factloom.llm.common import PART, Words, arrow_map, cut, join_hot, pieces, schema_with, session, text_batches, written
+from factloom.llm import simhash_dedup
 from factloom.llm.simhash_dedup import _SPACE, SEED, components, keep_least
 
 SHINGLE_WORDS = 5
+#: White space becomes a blank, A-Z become a-z.
+_FOLD = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Least similarity, in tenths.
 TENTHS = 8
 #: One of so many sets is counted to find the common shingles, and how often a common one stands in those at least.
@@ -41,16 +49,31 @@ PARITIES = 1024
 SMALL_ROWS = 100_000
 
 
-def shingles(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    digest, found, carry = xxhash.xxh64_intdigest, set(), []
-    for part in pieces(text or b"", _SPACE):
-        words = carry + part.lower().split()
-        found.update(digest(b" ".join(words[k : k + width]), SEED) for k in range(len(words) - width + 1))
-        carry = words[-(width - 1) :]
-    if not found and carry:
-        found.add(digest(b" ".join(carry), SEED))
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
+def shingle_sets(texts: list[bytes], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Of each text: the sorted distinct hashes of its shingles."""
+    if len(texts) == 1 and len(texts[0]) > PART:
+        found, carry = [], b""
+        for part in pieces(texts[0], _SPACE, PART):
+            words = Words([carry + part], _FOLD)
+            found.append(np.unique(words.runs(width)[0]))
+            n = min(width - 1, len(words))
+            carry = words.data[words.starts[len(words) - n] :] + b" " if n else b""
+        own = np.unique(np.concatenate(found))
+        return [own if len(own) else shingle_sets([carry], width)[0]]
+    words = Words(texts, _FOLD)
+    runs, whole = words.runs(width)
+    of, runs = words.text[: len(runs)][whole], runs[whole]
+    order = np.lexsort((runs, of))
+    of, runs = of[order], runs[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (of[1:] != of[:-1])
+    of, runs = of[new], runs[new]
+    out = np.split(runs, np.searchsorted(of, np.arange(1, len(texts))))
+    counts = np.diff(words.first)
+    for k in np.flatnonzero((counts > 0) & (counts < width)).tolist():
+        n = int(counts[k])
+        out[k] = words.runs(n)[0][words.first[k] : words.first[k] + 1]
+    return out
 
 
 def label(own: np.ndarray) -> int:
@@ -58,23 +81,28 @@ def label(own: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0], np.uint64).view(np.int64)[0])
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set as a signed long: 1 where over half of its hashes have a 1."""
+    ones = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own)).view(">u8").astype(np.uint64).view(np.int64)[0])
+
+
 def _mapped(source: DataFrame, keep: list[str], values, ddl: str) -> DataFrame:
     """The kept columns and what values() says of each row's set; the text is the last column of source."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     n = len(keep)
 
     def make():
         step_of = values()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [step_of(shingles(t)) for t in binary_list(batch.column(n))]
-            kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+            rows = [step_of(own) for _, texts in text_batches(batch.column(n)) for own in shingle_sets(texts)]
+            kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
             fields = [f.split(" ") for f in ddl.split(", ")]
             return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *(pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields))], names=[*keep, *(name for name, _ in fields)])
 
         return step
 
-    return arrow_map(source, make, f"{kept}, {ddl}" if kept else ddl)
+    return arrow_map(source, make, schema_with(source, keep, ddl))
 
 
 def _signed(own: np.ndarray) -> list[int]:
@@ -90,11 +118,11 @@ def _labels_and_sample(docs: DataFrame) -> DataFrame:
     def values():
         def of(own: np.ndarray):
             name = label(own)
-            return name, _signed(own) if name % SAMPLE == 0 else None
+            return name, fingerprint(own), _signed(own) if name % SAMPLE == 0 else None
 
         return of
 
-    return _mapped(docs.select("__id", "__text"), ["__id"], values, "__fp long, own array<long>")
+    return _mapped(docs.select("__id", "__text"), ["__id"], values, "__fp long, print long, own array<long>")
 
 
 def first_shingles(own: np.ndarray, late: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -201,16 +229,17 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: DataFr
     few = needed.count() <= SMALL_ROWS
     ids = needed.select(F.col("least").alias("__least")).distinct()
     ids, own = (F.broadcast(ids), F.broadcast(needed.select("__fp"))) if few else (ids, needed.select("__fp"))
-    some = labels(docs.join(ids, docs["__id"].eqNullSafe(ids["__least"]), "left_semi"), ["__text"], "__text")
-    texts = written(some.join(own, "__fp", "left_semi").dropDuplicates(["__fp"]), "texts")
-    body = lambda k: texts.select(F.col("__fp").alias(k), F.col("__text").alias(f"text_{k}"))
-    both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
+    some = docs.join(ids, docs["__id"].eqNullSafe(ids["__least"]), "left_semi").select("__text")
+    some = _mapped(some, [], lambda: lambda own: (label(own), own.tobytes()), "__fp long, own binary")
+    whole = written(some.join(own, "__fp", "left_semi").dropDuplicates(["__fp"]), "whole")
+    body = lambda k: whole.select(F.col("__fp").alias(k), F.col("own").alias(f"own_{k}"))
+    both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "own_a", "own_b")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
-            for x, y in zip(binary_list(batch.column(2)), binary_list(batch.column(3)), strict=True):
-                one, two = shingles(x), shingles(y)
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append((10 + TENTHS) * shared >= TENTHS * (len(one) + len(two)))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -220,15 +249,28 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: DataFr
     return cut(arrow_map(both, make, "a long, b long"))
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of labels whose SimHash fingerprints are equal or link, by one label for each fingerprint."""
+    own = cut(prints.select("__fp", "print").where("__fp <> 0").distinct())
+    first = cut(own.groupBy("print").agg(F.min("__fp").alias("least"), F.count("*").alias("__n")))
+    same = join_hot(own, first, "print").where("__fp > least").select(F.col("least").alias("a"), F.col("__fp").alias("b"))
+    found = simhash_dedup.links(first.select(F.col("print").alias("__fp")))
+    name = lambda k: first.select(F.col("print").alias(k), F.col("least").alias(f"least_{k}"))
+    near = found.join(name("a"), "a").join(name("b"), "b")
+    return same.unionByName(near.select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b")))
+
+
 def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of labels of similar sets, enough to connect all that are similar. docs: __id, __text."""
     classes = cut(prints.groupBy("__fp").agg(F.min("__id").alias("least")))
     sets = _sets(docs, prints)
+    found = _similar(_by_fingerprint(prints), docs, classes, sets)
     dealt = _dealt(sets)
-    first = _similar(_met(dealt.withColumn("root", F.col("__fp")), True), docs, classes, sets)
-    roots = components(first)
-    rooted = dealt.join(roots, dealt["__fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__fp"))
-    return first.unionByName(_similar(_met(rooted, False), docs, classes, sets)).distinct()
+    for star in (True, False):
+        roots = components(found)
+        rooted = dealt.join(roots, dealt["__fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__fp"))
+        found = found.unionByName(_similar(_met(rooted, star), docs, classes, sets)).distinct()
+    return found
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

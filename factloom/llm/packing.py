@@ -1,26 +1,31 @@
 """Best-fit packing of token sequences by bin completion.
 
 Pieces of at most CAPACITY tokens are counted by length: CAPACITY numbers, however large the corpus. The search
-works on these counts. Again and again it takes the longest piece left and looks for the undominated filling of the
-rest of its bin with the least waste: best fit gives the first incumbent, branch and bound over the lengths left
-(longest first) improves it, and a branch is cut when even its smallest possible waste is no better than the
-incumbent's. A filling is undominated if no single piece left could replace one of its pieces and waste less. The
-filling found is used as often as the counts allow, which uses up at least one length; so there are at most
-CAPACITY fillings, and the plan (runs of equal pieces) is small enough to go to every task.
+works on these counts. Its incumbent is what best fit makes of the lengths in falling order, its bound the least number
+of bins that any packing needs (tokens, and pieces that can't share a bin). Bin completion then takes the longest piece
+left again and again and enumerates the undominated fillings of the rest of its bin, the least waste first; a branch ends
+where the waste so far proves that it can't beat the incumbent. Branches are taken in the order of their discrepancies:
+first always the best filling, then one step with another filling, then two, and so on. The search ends when the
+incumbent meets the bound, or after SEARCH_NODES steps; plan() returns the bound with the plan, so what may be left is
+known. A filling is used as often as the counts allow, which uses up at least one length; so there are at most CAPACITY
+fillings, and the plan (runs of equal pieces) is small enough to go to every task.
+
+A filling is dominated if one of its pieces, or two of them together, could be replaced by a single longer piece that is
+left, with less waste: whatever is packed with it can then be packed as well with the other.
 
 Which piece gets which place follows from its rank among the pieces of its length: the place of its partition, plus
 its place within it. Ranks need no window over a common length; only counts by partition and length are shuffled.
 
 Edge cases: a null or empty text is its end token alone; an empty table gives no rows; repeated rows are packed each
-for itself; null ids stay. Long texts are encoded whole.
+for itself; null ids stay. Long texts are encoded whole. Columns of the input that aren't kept are never looked at; kept ones
+may not be named piece, start, length, ids_crc32, ids, sequence_id or offset.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -30,14 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LONG_TEXT, arrow_map, session, table
+from factloom.llm.common import LONG_TEXT, arrow_map, cut, schema_with, session, table, written
 
 CAPACITY = 1024
 END = 2
-#: Branches looked at for one filling; best fit's filling stands if none is better within them.
-SEARCH_NODES = 4000
+#: Steps of the search for a plan, and of that for the fillings of one bin; the incumbent stands if none is better within them.
+SEARCH_NODES, FILLING_NODES = 300_000, 4000
+#: Fillings of one bin that the search may choose among.
+CHOICES = 6
 #: Words whose ids a task keeps; beyond it, words are encoded each time they come.
 KEPT_WORDS = 400_000
+#: So many rows of three numbers may go to every task.
+SMALL_ROWS = 1_000_000
 
 
 def _numbers(ids: list[int]) -> bytes:
@@ -120,78 +129,189 @@ def pieces_of(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def completion(rest: int, left: list[int], counts: dict[int, int], nodes: int = SEARCH_NODES) -> list[int]:
-    """The filling of `rest` from the ascending lengths `left` that wastes least, longest piece first."""
-    best: list[int] = []
-    spare, used = rest, Counter()
-    k = bisect_right(left, spare)
-    while k and spare:
-        size = left[k - 1]
-        if size <= spare and used[size] < counts[size]:
-            best.append(size)
-            used[size] += 1
-            spare -= size
-        else:
-            k -= 1
-        k = min(k, bisect_right(left, spare))
-    waste = spare
-    if not waste:
-        return best
+Filling = tuple[int, ...]  # longest piece first
+Packing = list[tuple[Filling, int]]  # fillings, and how many bins have each
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each length a, pieces above capacity - a are alone, those above half never share."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[x] for x in sizes.tolist()], np.int64)
+    best = -(-int((sizes * n).sum()) // capacity)
+    for a in [0, *sizes[2 * sizes <= capacity].tolist()]:
+        alone, half, small = sizes > capacity - a, (2 * sizes > capacity) & (sizes <= capacity - a), (sizes >= a) & (2 * sizes <= capacity)
+        spare = int((n * (capacity - sizes))[half].sum())
+        best = max(best, int(n[alone].sum() + n[half].sum()) + max(0, -(-(int((sizes * n)[small].sum()) - spare) // capacity)))
+    return best
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> Packing:
+    """Best fit of the lengths in falling order; equal bins are kept as one."""
+    bins: dict[int, list[list]] = defaultdict(list)  # free place -> [filling, how many]
+    free: list[int] = []  # sorted
+
+    def put(space: int, filling: Filling, n: int) -> None:
+        if not bins[space]:
+            insort(free, space)
+        bins[space].append([filling, n])
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            k = bisect_left(free, size)
+            if k == len(free):
+                each = min(capacity // size, left)
+                put(capacity - each * size, (size,) * each, left // each)
+                left -= left // each * each
+                continue
+            space = free[k]
+            filling, n = bins[space].pop()
+            if not bins[space]:
+                free.pop(k)
+            each = min(space // size, left)
+            used = min(n, left // each)
+            if n > used:
+                put(space, filling, n - used)
+            put(space - each * size, filling + (size,) * each, used)
+            left -= used * each
+    return [(tuple(f), n) for found in bins.values() for f, n in found]
+
+
+def fillings(rest: int, left: list[int], counts: dict[int, int], most: int = CHOICES, nodes: int = FILLING_NODES) -> tuple[list[Filling], int]:
+    """Undominated fillings of `rest` from the ascending lengths `left`, least waste first (`most` of them, the first by best fit or better), and the steps taken."""
+    found: list[tuple[int, Filling]] = []
     total = [0]
     for size in left:
         total.append(total[-1] + size * counts[size])
     budget = nodes
 
-    def grow(top: int, free: int, filling: list[int]) -> bool:
-        """Tries lengths below place `top`; True when nothing can be better."""
-        nonlocal best, waste, budget
-        if free < waste:
-            best, waste = list(filling), free
-            if not waste:
+    def could(size: int, used: Filling) -> bool:
+        return used.count(size) < counts[size]
+
+    def dominated(filling: Filling, free: int) -> bool:
+        parts = {*filling, *(filling[x] + filling[y] for x in range(len(filling)) for y in range(x))} if len(filling) < 12 else set(filling)
+        for part in parts:
+            k = bisect_right(left, part + free)
+            if k and left[k - 1] > part and could(left[k - 1], filling):
                 return True
+        return False
+
+    def grow(top: int, free: int, filling: Filling) -> bool:
+        """Tries lengths below place `top`, longest first; True when nothing can be better."""
+        nonlocal budget
         top = min(top, bisect_right(left, free))
-        for k in range(top - 1, -1, -1):
+        k, open_end = top, True
+        while k:
+            k -= 1
             budget -= 1
-            # Even all that is left below can't fill enough to beat the incumbent.
-            if budget < 0 or free - total[k + 1] >= waste:
+            worst = found[-1][0] if len(found) == most else free + 1
+            # Even all that is left below can't fill enough to beat what is known.
+            if budget < 0 or free - total[k + 1] >= worst:
                 return budget < 0
-            size = left[k]
-            if filling.count(size) < counts[size]:
-                filling.append(size)
-                if grow(k + 1, free - size, filling):
+            if could(left[k], filling):
+                open_end = False
+                if grow(k + 1, free - left[k], filling + (left[k],)):
+                    return True
+                if len(found) == most and found[-1][0] == 0:
                     return True
-                filling.pop()
+        if open_end and not any(f == filling for _, f in found) and not dominated(filling, free):
+            insort(found, (free, filling), key=lambda x: x[0])
+            del found[most:]
         return False
 
-    grow(len(left), rest, [])
-    return best
+    # Best fit: the longest that fits, again and again.
+    first, free, k = (), rest, len(left)
+    while free and (k := min(k, bisect_right(left, free))):
+        if could(left[k - 1], first):
+            first += (left[k - 1],)
+            free -= left[k - 1]
+        else:
+            k -= 1
+    found.append((free, first))
+    if free or most > 1:
+        grow(len(left), rest, ())
+    return [f for _, f in found], nodes - max(budget, 0)
+
+
+def completed(counts: dict[int, int], capacity: int, allowed: int, skips: int, budget: list[int]) -> Packing | None:
+    """A packing that wastes at most `allowed`, with at most `skips` steps that don't take the first filling; None if none is found."""
+    trail: list[tuple[list[Filling], int, Filling, int, int, int]] = []
+    counts, waste, out = dict(counts), 0, []
+    options: list[Filling] | None = None
+    nth = 0
+    while True:
+        left = sorted(s for s, n in counts.items() if n)
+        if not left:
+            return out
+        top = left[-1]
+        if options is None:
+            counts[top] -= 1
+            options, steps = fillings(capacity - top, left, counts, CHOICES if skips else 1)
+            counts[top] += 1
+            nth, budget[0] = 0, budget[0] - 20 - steps
+        ok = False
+        if nth < len(options) and (nth == 0 or skips) and budget[0] > 0:
+            filling = (top, *options[nth])
+            need = Counter(filling)
+            times = min(counts[s] // n for s, n in need.items())
+            more = waste + times * (capacity - sum(filling))
+            ok = more <= allowed
+        if ok:
+            trail.append((options, nth, filling, times, waste, skips))
+            for s, n in need.items():
+                counts[s] -= n * times
+            waste, skips = more, skips - (nth > 0)
+            out.append((filling, times))
+            options = None
+            continue
+        # Nothing (more) here: back to the last step that has another choice.
+        while True:
+            if not trail or budget[0] <= 0:
+                return None
+            options, nth, filling, times, waste, skips = trail.pop()
+            out.pop()
+            for s, n in Counter(filling).items():
+                counts[s] += n * times
+            nth += 1
+            if nth < len(options) and skips:
+                break
+
+
+def packing_of(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[Packing, int]:
+    """The best packing found, and the lower bound."""
+    counts = {s: n for s, n in counts.items() if n}
+    if not counts:
+        return [], 0
+    bound, tokens = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
+    best = best_fit(counts, capacity)
+    size = lambda packing: sum(n for _, n in packing)
+    budget, skips = [nodes], 0
+    while size(best) > bound and budget[0] > 0 and skips <= len(counts):
+        better = completed(counts, capacity, (size(best) - 1) * capacity - tokens, skips, budget)
+        if better is None:
+            skips += 1
+        else:
+            best = better
+    return best, bound
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Runs (length, first rank, last rank + 1, first bin, pieces of this run in a bin, offset) and the number of bins."""
-    counts = {s: n for s, n in counts.items() if n}
-    left, used, runs, bins = sorted(counts), Counter(), [], 0
-    while left:
-        top = left[-1]
-        counts[top] -= 1
-        filling = Counter([top, *completion(capacity - top, left, counts, nodes)])
-        counts[top] += 1
-        times = min(counts[s] // n for s, n in filling.items())
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[list[tuple[int, int, int, int, int, int]], int, int]:
+    """Runs (length, first rank, last rank + 1, first bin, pieces of this run in a bin, offset), the number of bins and its lower bound."""
+    packing, bound = packing_of(counts, capacity, nodes)
+    used, runs, bins = Counter(), [], 0
+    for filling, times in packing:
         offset = 0
-        for size, n in sorted(filling.items(), reverse=True):
+        for size, n in sorted(Counter(filling).items(), reverse=True):
             runs.append((size, used[size], used[size] + n * times, bins, n, offset))
             used[size] += n * times
-            counts[size] -= n * times
             offset += n * size
-        left = [s for s in left if counts[s]]
         bins += times
-    return runs, bins
+    return runs, bins, bound
 
 
 def tokenized(docs: DataFrame, keep: list[str], path: str, text: str = "text", end: int = END, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row a piece: the kept columns, piece, start, length, ids_crc32 (and ids), and its place in its task."""
     source = docs.select(*keep, F.col(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     stop = _numbers([end])
 
     def make():
@@ -216,20 +336,20 @@ def tokenized(docs: DataFrame, keep: list[str], path: str, text: str = "text", e
 
         return step
 
-    return arrow_map(source, make, f"{ddl}, piece int, start long, length long, ids_crc32 long, __nth long, __task long" + ", ids binary" * with_ids)
+    return arrow_map(source, make, schema_with(source, keep, "piece int, start long, length long, ids_crc32 long, __nth long, __task long" + ", ids binary" * with_ids))
 
 
 def pack(docs: DataFrame, keep: list[str], path: str, text: str = "text", end: int = END, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """tokenized() with sequence_id and offset of each piece. ids (little-endian 32-bit) on demand."""
     spark = session(docs.sparkSession)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pieces-{uuid.uuid4().hex}"
-    tokenized(docs, keep, path, text, end, capacity, with_ids).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    rows = written(tokenized(docs, keep, path, text, end, capacity, with_ids), "pieces")
     by_task = rows.groupBy("__task", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    runs, _ = plan(counts, capacity)
+    runs, _, _ = plan(counts, capacity)
     before = by_task.select("__task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("__task")) - F.col("n")).alias("__before"))
-    ranked = rows.join(before, ["__task", "length"])
+    # Pieces stay where they are unless there are very many tasks.
+    before = cut(before)
+    ranked = rows.join(F.broadcast(before) if before.count() <= SMALL_ROWS else before, ["__task", "length"])
     by_length: dict[int, list] = defaultdict(list)
     for run in runs:
         by_length[run[0]].append(run)

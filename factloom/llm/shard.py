@@ -6,27 +6,34 @@ Fisher and Yates' method, seeded by the bucket, and writes it to the shared fold
 are the shuffled order; record k of it goes to shard k mod n, slot k div n. So the law `rows` holds: the shards'
 counts are at most one apart.
 
+The texts are shuffled once, by bucket, and written once. Where a bucket begins in the order follows from the buckets'
+counts: a table of at most MAX_BUCKETS rows of two numbers, which goes to every task, so the texts stay where they are
+(beyond MAX_BUCKETS * BUCKET_BYTES of input, buckets get larger instead of more). A task takes its buckets one after
+another, so its memory is that of one bucket, and there are no more than MAX_TASKS of them. A record is never cut: one
+that is larger than a bucket is a bucket's worth of memory by itself.
+
 The same input files, splits and seed give the same order, also where a task runs again: records are put into the
 order of their hashes before they are shuffled.
 
 Edge cases: null ids and texts are records like any other; repeated rows keep their number; an empty table gives
-no rows; all columns of the input are kept, and those that this adds (shard, slot) replace columns of that name.
+no rows; all columns of the input are kept, of whatever type, and those that this adds (shard, slot) replace columns of
+that name. Columns named __key, __bucket and __place are dropped.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import session, table
+from factloom.llm.common import hashable, place, schema_with, session, table
 
 SHARDS = 8
 SEED = 7
 BUCKET_BYTES = 16 << 20
+MAX_BUCKETS = 1 << 20
+MAX_TASKS = 8192
 
 
 def fisher_yates(n: int, seed: int) -> list[int]:
@@ -41,9 +48,10 @@ def fisher_yates(n: int, seed: int) -> list[int]:
 def external_shuffle(records: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All records with __bucket and __place, in files of the shared folder."""
     spark = session(records.sparkSession)
+    records = records.drop("__key", "__bucket", "__place")
     total = records.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), *records.columns, F.monotonically_increasing_id())
+    buckets = min(MAX_BUCKETS, max(1, -(-total // bucket_bytes)))
+    key = F.xxhash64(F.lit(seed), *hashable(records), F.monotonically_increasing_id())
     scattered = records.withColumn("__key", key).withColumn("__bucket", F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(buckets)))
 
     def shuffled(bucket: pa.Table) -> pa.Table:
@@ -52,21 +60,25 @@ def external_shuffle(records: DataFrame, text: str = "text", seed: int = SEED, b
         bucket = bucket.take(pa.array(fisher_yates(bucket.num_rows, seed * 1_000_003 + number), pa.int64()))
         return bucket.append_column("__place", pa.array(range(bucket.num_rows), pa.int64()))
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema.fields) + ", __place long"
-    path = f"{spark.sparkContext.getCheckpointDir()}/shuffled-{uuid.uuid4().hex}"
-    # As many partitions as buckets, however many the session shuffles into: a task holds about one bucket.
-    scattered.repartition(buckets, "__bucket").groupBy("__bucket").applyInArrow(shuffled, ddl).drop("__key").write.parquet(path)
+    path = place(spark, "shuffled")
+    dealt = scattered.repartition(min(buckets, MAX_TASKS), "__bucket")
+    dealt.groupBy("__bucket").applyInArrow(shuffled, schema_with(scattered, scattered.columns, "__place long")).drop("__key").write.parquet(path)
     return spark.read.parquet(path)
 
 
+def begins(shuffled: DataFrame) -> DataFrame:
+    """(__bucket, __before): how many records stand in the buckets before; at most MAX_BUCKETS rows."""
+    counts = shuffled.groupBy("__bucket").agg(F.count("*").alias("n")).toPandas().sort_values("__bucket")
+    n = counts["n"].to_numpy(np.int64)
+    rows = pa.table({"__bucket": pa.array(counts["__bucket"].to_numpy(np.int64)), "__before": pa.array(np.cumsum(n) - n)})
+    return shuffled.sparkSession.createDataFrame(rows)
+
+
 def shard(records: DataFrame, shards: int = SHARDS, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All records with shard and slot."""
     shuffled = external_shuffle(records.drop("shard", "slot"), text, seed, bucket_bytes)
-    # One row a bucket: 100 TB in buckets of 16 MB are six million rows of 16 bytes.
-    sizes = shuffled.groupBy("__bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("before"))
-    at = F.col("before") + F.col("__place")
-    placed = shuffled.join(before, "__bucket")
+    at = F.col("__before") + F.col("__place")
+    placed = shuffled.join(F.broadcast(begins(shuffled)), "__bucket")
     return placed.select(*(c for c in shuffled.columns if c not in ("__bucket", "__place")), F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
 

@@ -9,7 +9,8 @@ most two bits, at least two blocks are equal. In each of the six bit orders that
 is entered at depth 32 at the node pairs (node, node) without differences; every link is below one of them. A
 node pair is a task; if more than MAX_LEAVES fingerprints are below it, Spark replaces it by the pairs of its
 descendants eight levels below that keep within the budget, again and again, so no task grows with the corpus.
-All that is dealt out are distinct fingerprints, so copies cost nothing here.
+All that is dealt out are distinct fingerprints, so copies cost nothing here. Where documents meet their fingerprint's
+class, or fingerprints their component's root, keys with more rows than HOT are joined without shuffling those rows.
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other. Repeated rows come out once
 each. A null doc_id is kept and never names a component unless all its documents have none. Any other columns
@@ -29,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, binary_list, cut, pieces, session, table
+from factloom.llm.common import HOT, arrow_map, binary_list, cut, join_hot, pieces, schema_with, session, table
 
 SHINGLE_WORDS = 3
 SEED = 42
 BUDGET = 2
 MAX_LEAVES = 200_000
+#: So many ids of 8 bytes may go to every task.
+SMALL_IDS = 1_000_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Block numbers, first block first, of the six bit orders.
 ORDERS = [(*two, *(k for k in range(4) if k not in two)) for two in combinations(range(4), 2)]
@@ -68,7 +71,6 @@ def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
     """The kept columns and __fp, the fingerprint as a signed long."""
     source = docs.select(*keep, F.col(text).alias("__body"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -77,7 +79,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: in
 
         return step
 
-    return arrow_map(source, make, f"{ddl}, __fp long")
+    return arrow_map(source, make, schema_with(source, keep, "__fp long"))
 
 
 def _turned(fp: Column, order: tuple[int, ...]) -> Column:
@@ -222,11 +224,13 @@ def components(pairs: DataFrame) -> DataFrame:
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = sign(edges)
     while True:
-        near = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
-        near = near.select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-        large = edges.join(near, "v").select("u", F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # No key is hot as long as there are no more edges than a hot key has.
+        join = join_hot if before[0] > HOT else lambda left, right, key: left.join(right.drop("__n"), key)
+        near = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+        near = near.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "__n")
+        large = join(edges, near, "v").select("u", F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+        small = join(large, least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if (now := sign(edges)) == before:
             break
@@ -240,21 +244,21 @@ def _prints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 
 def _classes(prints: DataFrame, find) -> DataFrame:
-    """Per distinct fingerprint: __root, __component (the least __id of its component) and n_links."""
-    classes = cut(prints.groupBy("__fp").agg(F.min("__id").alias("least")))
+    """Per distinct fingerprint: __root, __component (the least __id of its component), n_links and __n (its rows)."""
+    classes = cut(prints.groupBy("__fp").agg(F.min("__id").alias("least"), F.count("*").alias("__n")))
     pairs = cut(find(classes.select("__fp")))
     roots = components(pairs)
     degree = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("__fp")).agg(F.count("*").alias("n_links"))
     joined = classes.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left").join(degree, "__fp", "left")
-    joined = joined.select("__fp", "least", F.coalesce("root", "__fp").alias("__root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    names = joined.groupBy("__root").agg(F.min("least").alias("__component"))
-    return joined.join(names, "__root").select("__fp", "__root", "__component", "n_links")
+    joined = cut(joined.select("__fp", "least", F.coalesce("root", "__fp").alias("__root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("__n").alias("rows")))
+    names = joined.groupBy("__root").agg(F.min("least").alias("__component"), F.count("*").alias("__n"))
+    return cut(join_hot(joined, names, "__root").select("__fp", "__root", "__component", "n_links", F.col("rows").alias("__n")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id, n_links (other fingerprints that link to its own)."""
     prints = _prints(docs, doc_id, text, width)
-    labelled = prints.join(_classes(prints, lambda found: links(found, budget)), "__fp", "left")
+    labelled = join_hot(prints, _classes(prints, lambda found: links(found, budget)), "__fp")
     return labelled.select(F.col("__id").alias(doc_id), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"), "n_links")
 
 
@@ -265,20 +269,26 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def keep_least(docs: DataFrame, doc_id: str, text: str, prints: DataFrame, find, label) -> DataFrame:
-    """keep_one by any fingerprints: prints (__id, __fp), find(distinct ones) their links, label(rows, keep, text) adds __fp."""
-    labelled = prints.join(_classes(prints, find), "__fp").where(F.col("__id").eqNullSafe(F.col("__component")))
-    kept = cut(labelled.groupBy("__root", "__id").agg(F.min("__fp").alias("__fp")).select("__id", "__fp"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    """keep_one by any fingerprints: prints (__id, __fp), find(distinct ones) their links, label(rows, keep, text) adds __fp.
+
+    Texts are only shuffled where the ids that go are more than SMALL_IDS.
+    """
+    labelled = cut(join_hot(prints, _classes(prints, find), "__fp"))
+    first = F.col("__id").eqNullSafe(F.col("__component"))
     several = cut(prints.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    gone = cut(labelled.where(~first).select("__id").union(several).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     one = lambda x, y: x["__id"].eqNullSafe(y["__id"])
+    small = gone.count() <= SMALL_IDS
+    plain = rows.join(F.broadcast(gone) if small else gone, one(rows, gone), "left_anti").select("__row.*")
     if several.isEmpty():
-        return rows.join(kept, one(rows, kept), "left_semi").select("__row.*")
-    plain = rows.join(kept, one(rows, kept), "left_semi").join(several, one(rows, several), "left_anti")
-    # Of an id with several rows, those that have the kept fingerprint; identical ones once.
-    again = label(rows.join(several, one(rows, several), "left_semi"), ["__row", "__id"], "__text")
+        return plain
+    # Of an id with several rows, those that have the fingerprint to be kept; identical ones once.
+    kept = labelled.where(first).groupBy("__root", "__id").agg(F.min("__fp").alias("__fp")).select("__id", "__fp")
+    again = label(rows.join(F.broadcast(several) if small else several, one(rows, several), "left_semi"), ["__row", "__id"], "__text")
     again = again.join(kept, one(again, kept) & (again["__fp"] == kept["__fp"]), "left_semi")
     again = again.groupBy("__id", "__fp").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
-    return plain.select("__row.*").unionByName(again.select("__row.*"))
+    return plain.unionByName(again.select("__row.*"))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

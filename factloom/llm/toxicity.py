@@ -11,12 +11,14 @@ entry that stand in clean documents at least as often as elsewhere; a match insi
 score: a logistic function, fitted on the same rows, of the weight found and of that weight per 100 words.
 
 The fit uses at most MAX_LABELLED labelled rows (a sample by the ids' hash when there are more); each table it builds
-is bounded by that number. Entries need a share of MIN_SHARE of the toxic rows, so there are at most the mean number of
+is bounded by that number. These rows are written once, one for each distinct text (toxic if one of its rows is), so that
+copies of a text count once wherever the fit counts, and all steps of the fit read that table. Entries need a share of MIN_SHARE of the toxic rows, so there are at most the mean number of
 features of a document divided by MIN_SHARE. Every text is scored whole.
 
 Edge cases: null and empty texts score as a text without entries; without any toxic label, all score 0; rows with a
 null label are not learned from; an id labelled twice counts as toxic if one label says so. Repeated rows and null ids
-stay.
+stay; an empty table gives no rows, and one without labelled rows scores 0. Columns other than id, text and label are never
+looked at, and columns that are kept may have any names but score and __entries.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, remainder, session, table
+from factloom.llm.common import arrow_map, remainder, schema_with, session, table, written
 
 MAX_LABELLED = 200_000
 MIN_SHARE = 0.002
@@ -156,6 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     # At most about max_labelled rows of 12 bytes: this side may go to every task.
     some = known if share == 1.0 else known.where(F.pmod(F.xxhash64("__label_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(some), F.col("__id") == F.col("__label_id")).select("text", "toxic")
+    one = F.coalesce("text", F.lit(""))
+    rows = rows.groupBy(F.xxhash64(one).alias("a"), F.hash(F.lit(17), one).alias("b")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = written(rows.select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy(F.least(F.col("toxic").cast("int"), F.lit(1)).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
@@ -228,7 +233,6 @@ def score(docs: DataFrame, keep: list[str], model: dict, text: str = "text") ->
     """The kept columns, score and __entries (what was found)."""
     spark = session(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     shared = spark.sparkContext.broadcast(model)
 
     def make():
@@ -248,7 +252,7 @@ def score(docs: DataFrame, keep: list[str], model: dict, text: str = "text") ->
 
         return step
 
-    return arrow_map(source, make, f"{ddl}, score double, __entries array<string>")
+    return arrow_map(source, make, schema_with(source, keep, "score double, __entries array<string>"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
