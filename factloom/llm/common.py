@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark removes the shuffle and checkpoint files of what is gone.
+
+    Between rounds that shuffle much: with a large heap, a driver may not come to that by itself before disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _made: list[list[str]] = []
 
 

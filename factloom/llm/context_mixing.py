@@ -6,29 +6,33 @@ thing. Each byte is eight binary decisions, highest bit first. The predictors co
 
 * the last 2 (with their place in the word), 3 and 4 bytes of the word (with its beginning), hashed,
 * the whole word so far, and
-* the whole word so far with the class of the word before (short words by a hash, others by that of their ending).
+* the whole word so far with the text's class.
+
+A text's class is one of CLASSES, by a hash of the word of up to 3 bytes that it has most often: a sign of its language.
+It is said before the text and costs log2(CLASSES) bits.
 
 The predictors' log odds are added with weights; the set of weights is chosen (gated) by how much the predictors have seen
 and by the bit's place. The mixture's probability is refined by an adaptive map from (bits so far, quantised log odds) to
 the frequency really seen. The bits' costs add up to the text's total, a proper probability over all texts.
 
-Nothing here looks further back than the class of the word before. So what a word costs depends on the pair (class, word),
-is worked out once for each distinct pair of the corpus, and joined to the documents.
+But for the class, contexts end at the word's beginning. So what a word costs is worked out once for each distinct pair of
+class and word in the corpus and joined to the documents, which is what makes tables that grow with the corpus affordable.
+(With a class of the word before instead, counting the pairs alone took four times as long; the README has the figures.)
 
 Learning, all of it over all training documents:
 1. tasks count the pairs, of all documents, with how often training has them; the counts are summed in Spark;
-2. the counts behind the last 2 to 4 bytes, and behind fewer than SPLIT bytes of a word with its class, go into hashed tables
-   of fixed width (contexts as short as these are soon all known), which go to every task;
-3. the pairs are dealt out by the first SPLIT bytes of the word. All words that a longer context has are then in one group,
-   which counts them exactly: these tables grow with the corpus, and nobody holds them whole. Groups learn the weights
-   online, block by block in the order of a hash, each context as often as it was seen and with its own occurrence left out
-   of the counts it is predicted from; then the refining map. The groups' weights and maps are averaged;
+2. the counts behind the last 2 to 4 bytes, and behind fewer than SPLIT bytes of a word with the class, are summed by
+   context, and go into hashed tables of fixed width (contexts as short as these are soon all known), which go to every task;
+3. the pairs are dealt out by their first SPLIT bytes. All words that a longer beginning has are then in one group, which
+   counts them exactly: these tables grow with the corpus, and nobody holds them whole. Groups learn the weights online,
+   block by block in the order of a hash, each context as often as it was seen and with its own occurrence left out of the
+   counts it is predicted from, and the refining map on the way. The groups' weights and maps are averaged;
 4. the groups work out what their pairs cost.
 What belongs to a group follows from the data alone, not from how Spark deals out tasks, and is put together in the groups'
 order: the same documents always give the same scores.
 
-A unigram base goes with it: counts of the words and of the end, summed in the same groups. Pairs that make up at least one
-in HEAVY of all (so at most HEAVY of them) go to every task; the others are joined.
+A unigram base goes with it, by counts of words that are summed in the same groups. Pairs that make up at least one in HEAVY of all tokens (so at most HEAVY of
+them) go to every task; the others are joined.
 
 Edge cases: null texts are empty; an empty text has its end only; without training documents every bit costs one bit
 and every token's base term is 0; an empty table gives no rows. Repeated rows and null ids stay and are scored each for
@@ -39,7 +43,6 @@ not have the names of those that this adds, or begin with `__`.
 from __future__ import annotations
 
 import math
-import operator
 import re
 import zlib
 from collections import Counter
@@ -54,6 +57,7 @@ from factloom.llm.common import arrow_map, binary_list, mix, pieces, remainder,
 
 #: Bytes behind which the hashed tables count, and log2 of the slots of each; then that of class and word beginning.
 SHORT, BITS = (2, 3, 4), (20, 21, 22, 21)
+CLASSES = 16
 #: Words are dealt out by so many first bytes; beyond LIMIT bytes the whole word so far is no context any more.
 SPLIT, LIMIT = 4, 24
 PREDICTORS = len(SHORT) + 2
@@ -61,43 +65,39 @@ PREDICTORS = len(SHORT) + 2
 GROUP_ROWS = 200_000
 PAGE = 1 << 16
 RATE, BLOCK = 0.15, 4096
-#: Blocks that a group learns from at least: a small group's blocks come again.
-LEAST_BLOCKS = 200
+#: Blocks that a group learns from at least: a small group's blocks are smaller, and come again if they would be too small.
+LEAST_BLOCKS, SMALL_BLOCK = 400, 256
 #: Numbers that a task gathers before it sums them up, and bytes that it looks at together.
 GATHERED, LOOKED_AT = 1_000_000, 1 << 16
 STEPS = 33
 HEAVY = 200_000
-END, GAP, START = b"\xff", 0x20, b"\x00"
+END, GAP = b"\xff", 0x20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _U = np.uint64
 
 
-class _Classes(dict):
-    """Word -> the byte that says what class it is, as the word before another."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 200_000:
-            self.clear()
-        kind = 1 + zlib.crc32(word) % 191 if len(word) < 4 else 192 + zlib.crc32(word[-2:]) % 64
-        self[word] = out = bytes((kind,))
-        return out
+def words_of(text: bytes | None) -> Counter[bytes]:
+    """How often a text has each word; the end is one of them."""
+    out: Counter[bytes] = Counter()
+    for part in pieces(text or b"", _SPACE):
+        out.update(part.lower().split())
+    out[END] = 1
+    return out
 
 
-def pairs_of(text: bytes | None, classes: _Classes):
-    """The (class, word) pairs of a text, as one key each, in order; the end is one of them."""
-    before = START
-    for part in pieces(text or b"", _SPACE):
-        if words := part.lower().split():
-            yield from map(operator.add, [before, *map(classes.__getitem__, words[:-1])], words)
-            before = classes[words[-1]]
-    yield before + END
+def pairs_of(text: bytes | None) -> dict[bytes, int]:
+    """How often a text has each word, with the byte of the text's class before it."""
+    words = words_of(text)
+    sign = max(((n, word) for word, n in words.items() if len(word) < 4 and word != END), default=(0, b""))[1]
+    kind = bytes((zlib.crc32(sign) % CLASSES,))
+    return {kind + word: n for word, n in words.items()}
 
 
 def count_pairs(texts: DataFrame) -> DataFrame:
     """(key, n, m) of (text, learned from): how often training and all texts have each pair."""
 
     def run(batches):
-        seen, rest, classes = Counter(), Counter(), _Classes()
+        seen, rest = Counter(), Counter()
 
         def out():
             keys = list(seen.keys() | rest.keys())
@@ -109,7 +109,7 @@ def count_pairs(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for data, own in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                (seen if own else rest).update(pairs_of(data, classes))
+                (seen if own else rest).update(pairs_of(data))
                 if len(seen) + len(rest) > 400_000:
                     yield out()
         if seen or rest:
@@ -124,13 +124,11 @@ class Spelled:
     def __init__(self, keys: pa.Array) -> None:
         keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
         offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
-        data = np.frombuffer(keys.buffers()[2], np.uint8) if len(keys) else np.empty(0, np.uint8)
-        self.kinds = data[offsets[:-1]]
+        data = np.frombuffer(keys.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        self.starts, self.lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+        self.kinds = data[self.starts].astype(_U)
         # A key's first byte is its class; in its place stands the blank behind the word before.
-        self.lengths = np.diff(offsets)
-        self.starts = offsets[:-1] - offsets[0]
-        self.bytes = np.append(data[offsets[0] + 1 : offsets[-1]], np.uint8(GAP)) if len(keys) else data
-        self.bytes = self.bytes.copy()
+        self.bytes = np.append(data[1:], np.uint8(GAP))
         self.bytes[self.starts[1:] - 1] = GAP
 
     def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -143,28 +141,70 @@ class Spelled:
             back.append(np.where(place >= k, byte, np.where(place == k - 1, _U(GAP), _U(0))))
         return word, place, back
 
-    def contexts(self, at: np.ndarray) -> list[np.ndarray]:
-        """A hash for each of the hashed tables; the last one is 0 where the table has none."""
+    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The 4 bytes before; the last 2 of them with the place in the word; all of them with the class (NONE further on in a word)."""
         word, place, back = self.around(at)
-        out, so_far = [], np.zeros(len(at), _U)
-        for k, byte in enumerate(back, 1):
-            so_far = so_far | byte << _U(8 * (k - 1))
-            if k in SHORT:
-                where = np.minimum(place, LIMIT).astype(_U) << _U(48) if k == SHORT[0] else _U(0)
-                out.append(mix(so_far + where + _U(k << 58)))
-        begun = mix((so_far << _U(16)) | (self.kinds[word].astype(_U) << _U(8)) | place.astype(_U))
-        out.append(np.where(place < SPLIT, begun | _U(1), _U(0)))
-        return out
+        four = back[0] | back[1] << _U(8) | back[2] << _U(16) | back[3] << _U(24)
+        placed = (four & _U(0xFFFF)) | np.minimum(place, LIMIT).astype(_U) << _U(16)
+        return four, placed, np.where(place < SPLIT, four | self.kinds[word] << _U(32), NONE)
+
+
+NONE = _U(1 << 48)
+
+
+def _contexts(four: np.ndarray | None, placed: np.ndarray | None, begun: np.ndarray | None) -> list[np.ndarray | None]:
+    """A hash for each of the hashed tables."""
+    of = lambda key, salt: None if key is None else mix(key + _U(salt << 58))
+    return [of(placed, 2), None if four is None else of(four & _U(0xFFFFFF), 3), of(four, 4), of(begun, 5)]
 
 
 _STARTS = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(_STARTS[-1])
 
 
-def _slots(contexts: list[np.ndarray], byte: np.ndarray, bit: int) -> list[np.ndarray]:
+def _slots(contexts: list[np.ndarray | None], byte: np.ndarray, bit: int) -> list[np.ndarray | None]:
     """For each hashed table: the slot of the bit's context."""
     so_far = (_U(1 << bit) | (byte.astype(_U) >> _U(8 - bit))) * _U(0xD6E8FEB86659FD93)
-    return [(mix(c + so_far) >> _U(64 - b)).astype(np.int64) + s for c, b, s in zip(contexts, BITS, _STARTS, strict=False)]
+    return [None if c is None else (mix(c + so_far) >> _U(64 - b)).astype(np.int64) + s for c, b, s in zip(contexts, BITS, _STARTS, strict=False)]
+
+
+def _short_counts(counted: DataFrame) -> DataFrame:
+    """(kind, key, n): how often a byte stands behind 4 bytes (0), behind 2 bytes at a place (1), and behind a class and a word's beginning (2)."""
+
+    def run(batches):
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+
+        def merge() -> None:
+            for kind, own in enumerate(held):
+                if len(own) > 1:
+                    keys, place = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+                    held[kind] = [(keys, np.bincount(place, np.concatenate([n for _, n in own])))]
+
+        def out(kind: int) -> pa.RecordBatch:
+            keys, n = held[kind].pop()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
+        for batch in batches:
+            spelled, times = Spelled(batch.column(0)), batch.column(1).to_numpy().astype(np.float64)
+            for first in range(0, len(spelled.bytes), LOOKED_AT):
+                at = np.arange(first, min(first + LOOKED_AT, len(spelled.bytes)))
+                n = times[np.searchsorted(spelled.starts, at, "right") - 1]
+                for kind, key in enumerate(spelled.keys(at)):
+                    has = key != NONE
+                    keys, place = np.unique((key << _U(8) | spelled.bytes[at].astype(_U))[has], return_inverse=True)
+                    held[kind].append((keys, np.bincount(place, n[has], len(keys))))
+            if sum(len(k) for own in held for k, _ in own) > 2 * GATHERED:
+                merge()
+                for kind, own in enumerate(held):
+                    if len(own[0][0]) > GATHERED:
+                        yield out(kind)
+        merge()
+        for kind, own in enumerate(held):
+            if own:
+                yield out(kind)
+
+    parts = counted.where("n > 0").select("key", "n").mapInArrow(run, "kind int, key long, n long")
+    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _hashed_counts(counted: DataFrame) -> dict[int, bytes]:
@@ -185,20 +225,21 @@ def _hashed_counts(counted: DataFrame) -> dict[int, bytes]:
             return pa.RecordBatch.from_arrays([pa.array(distinct[edges] // PAGE), pa.array(pages, pa.binary())], names=["page", "part"])
 
         for batch in batches:
-            spelled, times = Spelled(batch.column(0)), batch.column(1).to_numpy().astype(np.float64)
-            for first in range(0, len(spelled.bytes), LOOKED_AT):
-                at = np.arange(first, min(first + LOOKED_AT, len(spelled.bytes)))
-                contexts, byte = spelled.contexts(at), spelled.bytes[at]
-                n = times[np.searchsorted(spelled.starts, at, "right") - 1]
+            kinds, keys, times = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(_U), batch.column(2).to_numpy().astype(np.float64)
+            for kind in range(3):
+                own = kinds == kind
+                key, n = keys[own], times[own]
+                byte = (key & _U(0xFF)).astype(np.int64)
+                contexts = _contexts(*(key >> _U(8) if k == kind else None for k in range(3)))
                 for bit in range(8):
                     one = (byte >> (7 - bit)) & 1
-                    for context, slot in zip(contexts, _slots(contexts, byte, bit), strict=True):
-                        has = context != 0
-                        held.append((slot[has], (n * (1 - one))[has], (n * one)[has]))
-                        size += len(held[-1][0])
-                if size > 2 * GATHERED:
-                    yield out()
-                    size = 0
+                    for slot in _slots(contexts, byte, bit):
+                        if slot is not None:
+                            held.append((slot, n * (1 - one), n * one))
+                            size += len(slot)
+            if size > 2 * GATHERED:
+                yield out()
+                size = 0
         if size:
             yield out()
 
@@ -212,13 +253,13 @@ def _hashed_counts(counted: DataFrame) -> dict[int, bytes]:
         n *= np.minimum(1, 60_000 / np.maximum(n.max(axis=0), 1))
         return pa.table([pa.array([group.column("page")[0].as_py()], pa.int64()), pa.array([zlib.compress(n.astype(np.float16).tobytes(), 1)], pa.binary())], names=["page", "counts"])
 
-    parts = counted.where("n > 0").select("key", "n").mapInArrow(slots, "page long, part binary")
+    parts = _short_counts(counted).mapInArrow(slots, "page long, part binary")
     return {r["page"]: bytes(r["counts"]) for r in parts.groupBy("page").applyInArrow(page, "page long, counts binary").toLocalIterator()}
 
 
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log odds of a one, of counts."""
-    return np.log((n1 + 0.05) / (n0 + 0.05))
+    return np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -241,7 +282,7 @@ def _cell(z: np.ndarray, byte: np.ndarray, bit: int) -> tuple[np.ndarray, np.nda
 
 
 class Edges:
-    """The distinct steps from a beginning of a pair's word to its next byte, of one group of pairs."""
+    """The distinct steps from a pair's word's beginning to its next byte, of one group of pairs."""
 
     def __init__(self, keys: pa.Array, times: np.ndarray) -> None:
         self.spelled = spelled = Spelled(keys)
@@ -255,8 +296,7 @@ class Edges:
             if not len(words):
                 break
             here = spelled.starts[words] + level
-            n, step = times[words], spelled.bytes[here].astype(np.int64)
-            found = {}
+            n, step, found = times[words], spelled.bytes[here].astype(np.int64), {}
             for kind in ("word", "pair"):
                 edge, first, place = np.unique(node[kind][words] << 8 | step, return_index=True, return_inverse=True)
                 found[kind] = (edge, first, place, np.bincount(place, n))
@@ -267,9 +307,9 @@ class Edges:
             at.append(here[first])
             byte.append(step[first])
             weight.append(total)
-            for kind, pick in (("word", found["word"][2][first]), ("pair", None)):
+            for kind, pick in (("word", found["word"][2][first]), ("pair", slice(None))):
                 split = self._splits(found[kind][0], found[kind][3]) if level >= SPLIT else np.zeros((16, len(found[kind][0])), np.float32)
-                counts[kind].append(split if pick is None else split[:, pick])
+                counts[kind].append(split[:, pick])
         # What lies further on in a word is a step of its own.
         lengths = spelled.lengths
         far = np.flatnonzero(np.arange(n_bytes) - np.repeat(spelled.starts, lengths) >= LIMIT)
@@ -277,9 +317,8 @@ class Edges:
         at.append(far)
         byte.append(spelled.bytes[far].astype(np.int64))
         weight.append(np.repeat(times, lengths)[far])
-        none = np.zeros((16, len(far)), np.float32)
         self.at, self.byte, self.weight = (np.concatenate(x) for x in (at, byte, weight))
-        self.counts = {kind: np.concatenate([*own, none], axis=1) for kind, own in counts.items()}
+        self.counts = {kind: np.concatenate([*own, np.zeros((16, len(far)), np.float32)], axis=1) for kind, own in counts.items()}
 
     @staticmethod
     def _splits(edges: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -305,60 +344,52 @@ class Mixer:
         self.weights = np.full((GATES, PREDICTORS + 1), 0.25) if weights is None else weights.copy()
         self.slopes = np.full((GATES, PREDICTORS + 1), 1e-4)
 
-    def inputs(self, edges: Edges, own: np.ndarray, contexts: list[np.ndarray], bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inputs(self, edges: Edges, own: np.ndarray, keys: tuple[np.ndarray, ...], bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bit, the log odds of each predictor (and a constant), and the gate, of the edges `own`."""
         byte = edges.byte[own]
-        one = ((byte >> (7 - bit)) & 1).astype(np.float64)
-        x = np.empty((len(own), PREDICTORS + 1))
+        one = ((byte >> (7 - bit)) & 1).astype(np.float32)
+        x = np.empty((len(own), PREDICTORS + 1), np.float32)
         x[:, PREDICTORS] = 0.3
-        slots = _slots(contexts, byte, bit)
+        # The first bytes of a word are all that 4 bytes can hold.
+        begun = keys[2] != NONE
+        hashed = [[self.hashed[v][slot] for v in (0, 1)] for slot in _slots(_contexts(*keys), byte, bit)]
+        long = [[np.where(begun, hashed[t][v], edges.counts[kind][2 * bit + v][own]) for v in (0, 1)] for t, kind in ((2, "word"), (3, "pair"))]
         seen = []
-        for k in range(PREDICTORS):
-            if k < len(SHORT):
-                n0, n1 = (self.hashed[v][slots[k]].astype(np.float64) for v in (0, 1))
-            elif k == len(SHORT):
-                n0, n1 = (edges.counts["word"][2 * bit + v][own].astype(np.float64) for v in (0, 1))
-            else:
-                has = contexts[-1] != 0
-                n0, n1 = (np.where(has, self.hashed[v][slots[-1]], edges.counts["pair"][2 * bit + v][own]).astype(np.float64) for v in (0, 1))
+        for k, (n0, n1) in enumerate([*hashed[:3], *long]):
             if leave_out:
                 n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
             x[:, k] = _stretch(n0, n1)
             seen.append(n0 + n1)
-        gate = ((_bucket(seen[-2]) * 5 + _bucket(seen[-1])) * 2 + (seen[len(SHORT) - 1] > 3.5)) * 8 + bit
+        gate = ((_bucket(seen[3]) * 5 + _bucket(seen[4])) * 2 + (seen[2] > 3.5)) * 8 + bit
         return one, x, gate
 
-    def learn(self, edges: Edges, own: np.ndarray) -> None:
-        """One online step a bit, over a block of edges; a weight's steps get smaller as its gradients add up."""
-        contexts, times = edges.spelled.contexts(edges.at[own]), edges.weight[own]
+    def learn(self, edges: Edges, own: np.ndarray, cells: np.ndarray) -> None:
+        """One online step a bit, over a block of edges; a weight's steps get smaller as its gradients add up.
+
+        cells: weighted numbers of bits and of ones for each cell of the refining map, to which the block is added.
+        """
+        keys, times = edges.spelled.keys(edges.at[own]), edges.weight[own]
         for bit in range(8):
-            one, x, gate = self.inputs(edges, own, contexts, bit, True)
-            miss = (one - _squash((self.weights[gate] * x).sum(axis=1))) * times
+            one, x, gate = self.inputs(edges, own, keys, bit, True)
+            z = np.einsum("ij,ij->i", self.weights[gate], x)
+            low, part = _cell(z, edges.byte[own], bit)
+            for at, share in ((low, (1 - part) * times), (low + 1, part * times)):
+                cells[0] += np.bincount(at, share, cells.shape[1])
+                cells[1] += np.bincount(at, share * one, cells.shape[1])
+            miss = (one - _squash(z)) * times
             total = np.maximum(np.bincount(gate, times, GATES), 1e-9)
             slope = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(PREDICTORS + 1)], axis=1) / total[:, None]
             self.slopes += slope * slope
             self.weights += RATE * slope / np.sqrt(self.slopes)
             np.clip(self.weights, -4, 4, out=self.weights)
 
-    def mapped(self, edges: Edges, own: np.ndarray) -> np.ndarray:
-        """Weighted numbers of bits and of ones for each cell of the refining map."""
-        out = np.zeros((2, 256 * STEPS))
-        contexts, times = edges.spelled.contexts(edges.at[own]), edges.weight[own]
-        for bit in range(8):
-            one, x, gate = self.inputs(edges, own, contexts, bit, True)
-            low, part = _cell((self.weights[gate] * x).sum(axis=1), edges.byte[own], bit)
-            for at, share in ((low, 1 - part), (low + 1, part)):
-                out[0] += np.bincount(at, share * times, 256 * STEPS)
-                out[1] += np.bincount(at, share * times * one, 256 * STEPS)
-        return out
-
     def costs(self, edges: Edges, own: np.ndarray) -> np.ndarray:
         """Bits that each edge's byte costs."""
         out = np.zeros(len(own))
-        contexts = edges.spelled.contexts(edges.at[own])
+        keys = edges.spelled.keys(edges.at[own])
         for bit in range(8):
-            one, x, gate = self.inputs(edges, own, contexts, bit, False)
-            z = (self.weights[gate] * x).sum(axis=1)
+            one, x, gate = self.inputs(edges, own, keys, bit, False)
+            z = np.einsum("ij,ij->i", self.weights[gate], x)
             p = _squash(z)
             if self.refine is not None:
                 low, part = _cell(z, edges.byte[own], bit)
@@ -375,7 +406,7 @@ def _blocks(n: int, size: int, order: np.ndarray | None = None):
 def hashed_of(model: dict) -> np.ndarray:
     """The hashed tables, unpacked once in a worker."""
     if "hashed" not in model:
-        n = np.zeros((2, -(-SLOTS // PAGE) * PAGE), np.float16)
+        n = np.zeros((2, -(-SLOTS // PAGE) * PAGE), np.float32)
         for page, data in model["pages"].items():
             n[:, page * PAGE : (page + 1) * PAGE] = np.frombuffer(zlib.decompress(data), np.float16).reshape(2, PAGE)
         model["hashed"] = n
@@ -389,7 +420,8 @@ def _sorted(group: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def word_costs(texts: DataFrame) -> DataFrame:
-    """(key, bits, n_word, n, m, lead) of the pairs of (text, learned from); lead: 1 for one pair of each word of training."""
+    """(key, bits, n_word, n, m, lead) of the pairs of (text, learned from): what each costs, how often training has the word and the pair, and
+    all texts the pair; lead: 1 for one pair of each word of training."""
     spark = session(texts.sparkSession)
     counted = written(count_pairs(texts), "pairs")
     rows, learned = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -405,12 +437,12 @@ def word_costs(texts: DataFrame) -> DataFrame:
             edges, mixer = Edges(keys, n), Mixer(hashed_of(shared.value))
             own = np.flatnonzero(edges.weight > 0)
             own = own[np.argsort(mix(own.astype(_U) + _U(3)), kind="stable")]
-            for _ in range(-(-LEAST_BLOCKS * BLOCK // max(len(own), LEAST_BLOCKS))):
-                for block in _blocks(len(own), BLOCK, own):
-                    mixer.learn(edges, block)
-            cells = np.zeros((2, 256 * STEPS))
-            for block in _blocks(len(own), LOOKED_AT, own):
-                cells += mixer.mapped(edges, block)
+            size, rounds = max(SMALL_BLOCK, min(BLOCK, len(own) // LEAST_BLOCKS)), -(-LEAST_BLOCKS * SMALL_BLOCK // max(len(own), LEAST_BLOCKS))
+            blocks, cells = [block for _ in range(rounds) for block in _blocks(len(own), size, own)], None
+            for k, block in enumerate(blocks):
+                if k in (0, len(blocks) // 2):
+                    cells = np.zeros((2, 256 * STEPS))  # the map is that of the second half, by weights that have settled
+                mixer.learn(edges, block, cells)
             row = [group.column("g")[:1].to_pylist(), [float(edges.weight.sum())], [mixer.weights.ravel().tolist()], [cells.ravel().tolist()]]
             return pa.table([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2], pa.list_(pa.float64())), pa.array(row[3], pa.list_(pa.float64()))], names=["g", "n", "w", "c"])
 
@@ -437,10 +469,10 @@ def word_costs(texts: DataFrame) -> DataFrame:
         words = [key[1:] for key in keys.to_pylist()]
         for word, times in zip(words, n.tolist(), strict=True):
             total[word] += int(times)
-        named, lead = set(), []
+        left, lead = {word for word, times in total.items() if times}, []
         for word in words:
-            lead.append(int(total[word] > 0 and word not in named))
-            named.add(word)
+            lead.append(int(word in left))
+            left.discard(word)
         return pa.table([keys, pa.array(bits), pa.array([total[w] for w in words], pa.int64()), pa.array(n.astype(np.int64)), pa.array(m), pa.array(lead, pa.int32())], names=["key", "bits", "n_word", "n", "m", "lead"])
 
     return written(grouped.groupBy("g").applyInArrow(cost, "key binary, bits double, n_word long, n long, m long, lead int"), "costs")
@@ -461,17 +493,17 @@ def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") ->
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def make():
-        known, classes = shared.value, _Classes()
+        known = shared.value
         first, number = TaskContext.get().partitionId() << 33, 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal number
             rows = []
             for data in binary_list(batch.column(len(keep))):
-                seen = Counter(pairs_of(data, classes))
+                seen = pairs_of(data)
                 rare = [(key, n) for key, n in seen.items() if key not in known]
                 often = [(known[key], n) for key, n in seen.items() if key in known]
-                size = sum(len(key) * n for key, n in seen.items()) - 1  # the end is one byte
+                size = sum(len(key) * n for key, n in seen.items())
                 bits, base, found = (math.fsum(value[k] * n for value, n in often) for k in range(3))
                 rows.append((first + number, sum(seen.values()), int(found), base, size, bits, [{"key": key, "n": n} for key, n in rare]))
                 number += 1
@@ -489,7 +521,7 @@ def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") ->
     added = found.groupBy("__row").agg(exact(F.col("times") * F.log10(F.col("n_word") + 0.5)).alias("__more"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("__found"), exact(F.col("times") * F.col("bits")).alias("__cost"))
     whole = scored.drop("__rare").join(added, "__row", "left")
     of = lambda name, kind: F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind))
-    bits = F.col("__bits") + of("__cost", "double")
+    bits = F.col("__bits") + of("__cost", "double") + F.lit(math.log2(CLASSES))
     return whole.select(
         *keep,
         "n_tokens",

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import PART, Words, arrow_map, cut, join_hot, pieces, schema_with, session, text_batches, written
+from factloom.llm.common import PART, Words, arrow_map, cut, freed, join_hot, made_here, pieces, removed, schema_with, session, text_batches, written
 from factloom.llm import simhash_dedup
 from factloom.llm.simhash_dedup import _SPACE, SEED, components, keep_least
 
@@ -231,7 +231,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: DataFr
     ids, own = (F.broadcast(ids), F.broadcast(needed.select("__fp"))) if few else (ids, needed.select("__fp"))
     some = docs.join(ids, docs["__id"].eqNullSafe(ids["__least"]), "left_semi").select("__text")
     some = _mapped(some, [], lambda: lambda own: (label(own), own.tobytes()), "__fp long, own binary")
-    whole = written(some.join(own, "__fp", "left_semi").dropDuplicates(["__fp"]), "whole")
+    with made_here() as own_files:
+        whole = written(some.join(own, "__fp", "left_semi").dropDuplicates(["__fp"]), "whole")
     body = lambda k: whole.select(F.col("__fp").alias(k), F.col("own").alias(f"own_{k}"))
     both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "own_a", "own_b")
 
@@ -246,7 +247,10 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: DataFr
 
         return step
 
-    return cut(arrow_map(both, make, "a long, b long"))
+    found = cut(arrow_map(both, make, "a long, b long"))
+    removed(docs.sparkSession, own_files)
+    freed(docs.sparkSession)
+    return found
 
 
 def _by_fingerprint(prints: DataFrame) -> DataFrame:
@@ -263,13 +267,19 @@ def _by_fingerprint(prints: DataFrame) -> DataFrame:
 def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of labels of similar sets, enough to connect all that are similar. docs: __id, __text."""
     classes = cut(prints.groupBy("__fp").agg(F.min("__id").alias("least")))
-    sets = _sets(docs, prints)
+    with made_here() as own_files:
+        sets = _sets(docs, prints)
+    freed(docs.sparkSession)
     found = _similar(_by_fingerprint(prints), docs, classes, sets)
-    dealt = _dealt(sets)
+    with made_here() as more_files:
+        dealt = _dealt(sets)
+    own_files += more_files
+    freed(docs.sparkSession)
     for star in (True, False):
         roots = components(found)
         rooted = dealt.join(roots, dealt["__fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__fp"))
-        found = found.unionByName(_similar(_met(rooted, star), docs, classes, sets)).distinct()
+        found = cut(found.unionByName(_similar(_met(rooted, star), docs, classes, sets)).distinct())
+    removed(docs.sparkSession, own_files)
     return found
 
 

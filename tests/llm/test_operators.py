@@ -226,29 +226,32 @@ def test_lm_base_and_model(spark, nasty, empty):
     assert context_mixing.score(nasty, F.lit(True), ["doc_id"]).count() == N_ROWS and context_mixing.score(empty, F.lit(True), ["doc_id"]).count() == 0
 
 
-def test_pairs_and_steps_equal_brute_force():
+def test_steps_equal_brute_force():
     """Contexts counted by arrays, and the pairs of a text."""
-    classes = context_mixing._Classes()
-    assert list(context_mixing.pairs_of(b" The  cat\n", classes)) == [b"\x00the", classes[b"the"] + b"cat", classes[b"cat"] + b"\xff"]
+    kind = bytes((zlib.crc32(b"cat") % context_mixing.CLASSES,))
+    assert context_mixing.pairs_of(b" There  cat\n cat THERE") == {kind + b"there": 2, kind + b"cat": 2, kind + b"\xff": 1}
     rng = random.Random(8)
     keys = sorted({bytes((rng.randrange(3),)) + "".join(rng.choices("abc", k=rng.randrange(1, 40))).encode() for _ in range(200)})
     times = np.array([float(rng.randrange(4)) for _ in keys])
     edges = context_mixing.Edges(pa.array(keys, pa.binary()), times)
+    four, placed, begun = edges.spelled.keys(np.arange(len(edges.spelled.bytes)))
     at = 0
     for key in keys:
         word = key[1:] + b" "
         for j, byte in enumerate(word):
             edge = edges.of[at]
+            before = (b"\0\0\0 " + word)[j : j + 4]
+            assert edges.byte[edge] == byte and four[at] == int.from_bytes(before, "big") and placed[at] == int.from_bytes(before[2:], "big") + (min(j, context_mixing.LIMIT) << 16)
+            assert begun[at] == (four[at] + (np.uint64(key[0]) << np.uint64(32)) if j < context_mixing.SPLIT else context_mixing.NONE)
             at += 1
-            assert edges.byte[edge] == byte
             if j >= context_mixing.LIMIT or j < context_mixing.SPLIT:
                 continue
-            for kind, start in (("pair", 0), ("word", 1)):
-                same = [(k[1:] + b" ", n) for k, n in zip(keys, times, strict=True) if (k + b" ")[start : j + 1] == (key + b" ")[start : j + 1] and len(k) > j]
+            for name, start in (("pair", 0), ("word", 1)):
+                same = [(k[1:] + b" ", n) for k, n in zip(keys, times, strict=True) if k[start : j + 1] == key[start : j + 1] and len(k) > j]
                 for bit in range(8):
                     below = [(w, n) for w, n in same if w[j] >> (8 - bit) == byte >> (8 - bit)]
                     want = [sum(n for w, n in below if w[j] >> (7 - bit) & 1 == one) for one in (0, 1)]
-                    assert edges.counts[kind][2 * bit : 2 * bit + 2, edge].tolist() == want
+                    assert edges.counts[name][2 * bit : 2 * bit + 2, edge].tolist() == want
 
 
 def test_mixture_is_a_probability():
