@@ -1,3 +1,6 @@
+import random
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -50,9 +53,59 @@ def test_topic_scope_subject(spark):
     assert one(spark, T.cleaned_value(F.lit('**"8,142  Cr"**'))) == "8,142 Cr"
 
 
-def test_chunks_keep_tables_and_pages():
-    assert packed("short") == ["short"]
+def slow_chunks(page, limit):
+    """Paragraph by paragraph, from the rules."""
+    if len(page) <= limit:
+        return [page]
+    done, held = [], ""
+    for p in page.split("\n\n"):
+        lines = p.split("\n")
+        rows = len(p) > limit and all(x.strip().startswith("|") for x in lines if x.strip())
+        if held.strip() and (rows or len(held + p) + 2 > limit):
+            done, held = [*done, held], ""
+        if not rows:
+            held += p + "\n\n"
+            continue
+        held = ""
+        head = next(x for x in lines if x.strip().startswith("|")) + "\n"
+        parts = [head]
+        for x in lines[1:]:
+            if len(parts[-1]) + len(x) + 1 > limit:
+                parts.append(head)
+            parts[-1] += x + "\n"
+        done += [x for x in parts if x.strip() != head.strip()]
+    return [x for x in [*done, held] if x.strip()]
+
+
+def test_chunks_keep_tables_and_pages(spark):
+    cut = lambda page, limit=4000: one(spark, packed(F.lit(page), limit))
+    assert cut("short") == ["short"]
     table = "| h |\n" + "\n".join(f"| {k:05d} |" for k in range(30))
-    parts = packed("intro\n\n" + table + "\n\ntail", 120)
+    parts = cut("intro\n\n" + table + "\n\ntail", 120)
     assert parts[0] == "intro\n\n" and all(p.startswith("| h |\n") for p in parts[1:-1]) and parts[-1] == "tail\n\n"
     assert sorted(line for p in parts[1:-1] for line in p.split("\n")[1:] if line) == sorted(table.split("\n")[1:])
+
+
+def test_chunks_equal_brute_force(spark):
+    rng = random.Random(7)
+    table = lambda: "\n".join(f"| {'x' * rng.randrange(1, 30)} |" for _ in range(rng.randrange(1, 12)))
+    plain = lambda: " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(0, 25)))
+    rows = [("\n\n".join(table() if rng.random() < 0.3 else plain() for _ in range(rng.randrange(1, 9))),) for _ in range(150)]
+    for r in spark.createDataFrame(rows, "page string").select("page", packed(F.col("page"), 100).alias("parts")).collect():
+        assert r["parts"] == slow_chunks(r["page"], 100), r["page"]
+
+
+def test_spans_equal_a_loose_pattern():
+    rng = random.Random(4)
+    bits = ["ab", "c", "*", " ", "\n", "  ", "d.e", "_", "fgh", "|"]
+    for _ in range(3000):
+        text, quote = ("".join(rng.choices(bits, k=n)) for n in (14, rng.randrange(1, 6)))
+        if not quote.split() or quote in text:
+            continue
+        found = re.search(r"\s+".join(map(re.escape, quote.split())), text)
+        got = verbatim_span(quote, text)
+        if found:
+            assert got == found[0]
+        elif got is not None:
+            bare = lambda x: " ".join(re.sub(r"[*_`~>|]", "", x).split())
+            assert got in text and bare(got) == bare(quote)
