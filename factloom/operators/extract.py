@@ -229,10 +229,10 @@ def rejections(facts: DataFrame) -> DataFrame:
     return grounded(facts).where("__reason is not null").select(F.lit("verifier-rejection").alias("kind"), F.col("__reason").alias("detail"), F.array().cast("array<string>").alias("fact_ids"), F.array(F.struct(*_EVIDENCE)).alias("evidence"))
 
 
-def facts_of(chunks: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The knowledge base's facts and questions of chunks (and of a model's facts)."""
+def facts_of(chunks: DataFrame, more: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda found: found) -> tuple[DataFrame, DataFrame]:
+    """The knowledge base's facts and questions of chunks (and of a model's facts). keep: writes what was found, so that it is found once."""
     found = extract(chunks.join(document_entities(chunks), "doc") if "entity" not in chunks.columns else chunks)
-    found = found if more is None else found.unionByName(more)
+    found = keep(found if more is None else found.unionByName(more))
     order = ["chunk_ord", "sent_ord", "item_ord"]
     facts = numbered(deduplicated(grounded(found).where("__reason is null").drop("__reason"), order), order)
     return facts, questions_of(facts).unionByName(rejections(found))

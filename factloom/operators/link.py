@@ -63,6 +63,22 @@ def topic_pairs(features: DataFrame, fuzzy: bool = True) -> DataFrame:
     return shared.unionByName(alike.select("x", "y", F.lit(0).alias("shared")))
 
 
+def alike_names(names: DataFrame, least: float = SUBJECT_ALIKE) -> DataFrame:
+    """(p, q), both ways and each name with itself: pairs of the distinct `who` that are alike.
+
+    Candidates are joined on a common word, or on like lengths: without a common word, the score is 200 * common subsequence /
+    both lengths, so the shorter has at least least / (200 - least) of the longer's length.
+    """
+    names = names.select("who").distinct()
+    words = names.select("who", F.explode(F.array_distinct(F.split("who", r"\s+"))).alias("w")).where("w <> ''")
+    step = F.floor(F.log(F.greatest(F.length("who"), F.lit(1))) / -F.log(F.lit(least / (200 - least)))).cast("int")
+    near = names.select(F.col("who").alias("p"), step.alias("b")).join(names.select(F.col("who").alias("q"), F.explode(F.array(step - 1, step, step + 1)).alias("b")), "b")
+    near = near.where(200 * F.least(F.length("p"), F.length("q")) >= least * (F.length("p") + F.length("q")))
+    shared = words.select(F.col("who").alias("p"), "w").join(words.select(F.col("who").alias("q"), "w"), "w")
+    pairs = near.select("p", "q").union(shared.select("p", "q")).where("p < q").distinct().where(token_set_ratio("p", "q") >= least)
+    return pairs.union(pairs.select("q", "p")).union(names.select("who", "who"))
+
+
 def _sides(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(features.select(*(F.col(c).alias(f"{p}_{c}") for c in features.columns)) for p in "ab")
 
@@ -77,9 +93,7 @@ def same_topic(facts: DataFrame, subject_match: str = "fuzzy") -> DataFrame:
         known = known_a.join(pairs, F.col("a_anchor") == F.col("x")).join(known_b, (F.col("b_anchor") == F.col("y")) & (F.col("a_who") == F.col("b_who")))
     else:
         # A dictionary of distinct subjects, not of facts.
-        names = features.where(~unknown).select("who").distinct()
-        whos = names.select(F.col("who").alias("p")).join(names.select(F.col("who").alias("q")), F.col("p") <= F.col("q")).where((F.col("p") == F.col("q")) | (token_set_ratio("p", "q") >= SUBJECT_ALIKE))
-        whos = whos.union(whos.where("p <> q").select("q", "p"))
+        whos = alike_names(features.where(~unknown))
         known = known_a.join(whos, F.col("a_who") == F.col("p")).join(pairs, F.col("a_anchor") == F.col("x")).join(known_b, (F.col("b_anchor") == F.col("y")) & (F.col("b_who") == F.col("q")))
     # At least one side without a known subject: these are joined by themselves, so that known pairs are never built.
     all_b, vague_a, vague_b = _sides(features)[1], *_sides(features.where(unknown))

@@ -93,47 +93,94 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 class Store:
-    """Tables as Parquet below one path. A table is written beside the old one and then takes its name's place."""
+    """Tables as Parquet below one path.
+
+    Each writing of a table makes a new version, a folder `name.<number>`; a version is there once Spark's writer has marked it
+    complete, and readers take the last such one. So a table is never half written and never away; older versions are removed
+    after a new one is complete.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self.fs = spark._jvm.org.apache.hadoop.fs
-        self.conf = spark._jsc.hadoopConfiguration()
+        self.root = self.fs.Path(path)
+        self.files = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _place(self, name: str):
-        return self.fs.Path(f"{self.path}/{name}")
+    def _versions(self, name: str) -> list[int]:
+        found = self.files.globStatus(self.fs.Path(f"{self.path}/{name}.*/_SUCCESS")) or []
+        return sorted(int(x.getPath().getParent().getName().rpartition(".")[2]) for x in found)
 
     def exists(self, name: str) -> bool:
-        place = self._place(name)
-        return place.getFileSystem(self.conf).exists(place)
+        return bool(self._versions(name))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}.{self._versions(name)[-1]:06d}")
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """rows may read the table they replace: it is only removed after they are written."""
-        staged = f"{name}.{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{staged}")
-        place, fresh = self._place(name), self._place(staged)
-        files = place.getFileSystem(self.conf)
-        files.delete(place, True)
-        files.rename(fresh, place)
-        self.spark.catalog.refreshByPath(f"{self.path}/{name}")
+        """rows may read the version before."""
+        known = self._versions(name)
+        fresh = known[-1] + 1 if known else 1
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}.{fresh:06d}")
+        for old in known:
+            self.files.delete(self.fs.Path(f"{self.path}/{name}.{old:06d}"), True)
 
     def ingest(self, documents: DataFrame, facts: DataFrame, questions: DataFrame) -> None:
-        """Facts first, their documents last: what breaks off in between is found changed again by the next run."""
+        """Puts the documents, their facts and their questions (with `doc`) in the place of what is stored of these documents.
+
+        Documents are written last: what breaks off in between is found changed again by the next run, which replaces its own
+        rows. The registry counts every fact that was ever put in, also those that were replaced since. Questions get ids that
+        go on from the largest one stored.
+        """
         docs = documents.select("doc")
+        counted = registry(facts.withColumn("seq", F.struct("doc", "fact_id")))
+        last = 0
         if self.exists("facts"):
             facts = self.read("facts").join(docs, "doc", "left_anti").unionByName(facts, allowMissingColumns=True)
+        stored = None
         if self.exists("open_questions"):
-            questions = self.read("open_questions").unionByName(questions, allowMissingColumns=True)
+            stored = self.read("open_questions")
+            last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        questions = with_ids(questions, last)
+        if stored is not None:
+            questions = stored.join(docs, "doc", "left_anti").unionByName(questions, allowMissingColumns=True)
         if self.exists("documents"):
             documents = upserted(self.read("documents"), documents, "doc")
+        if self.exists("schema_registry"):
+            counted = registry_merged(self.read("schema_registry"), counted)
+        self.write("schema_registry", counted)
         self.write("facts", facts)
         self.write("open_questions", questions)
-        self.write("schema_registry", registry(self.read("facts").withColumn("seq", F.struct("doc", "fact_id"))))
         self.write("documents", documents)
 
+    def link(self, relate, **how) -> None:
+        """Works out the relations of all stored facts anew: relate(facts, documents, **how)."""
+        self.write("relations", relate(self.read("facts"), self.read("documents"), **how))
+
+    def delete(self, doc: str) -> None:
+        """Removes a document and what hangs on its facts."""
+        names = [name for name in TABLES if name != "schema_registry"]
+        left = delete_document({name: self.read(name) for name in names}, doc)
+        # The documents first: a run that breaks off leaves facts of a document that is gone, which the next call removes.
+        for name in names:
+            self.write(name, left[name])
+
+    def stats(self) -> DataFrame:
+        """Rows of each table that is there."""
+        return table_counts({name: self.read(name) for name in TABLES if self.exists(name)})
+
+
+def with_ids(questions: DataFrame, last: int = 0) -> DataFrame:
+    """questions with `id`, from last + 1: those of a partition go on from where the partitions before end."""
+    rows = questions.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id())
+    kept = rows.checkpoint() if questions.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+    sizes = {r["__part"]: r["count"] for r in kept.groupBy("__part").count().collect()}  # one row a partition
+    before, at = {}, last
+    for part in sorted(sizes):
+        before[part], at = at, at + sizes[part]
+    begins = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(-1), F.lit(last))
+    place = F.col("__in").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("id", (F.element_at(begins, F.col("__part")) + place + 1).cast("long")).drop("__part", "__in")
+
 
 def document_rows(pages: DataFrame, shas: DataFrame, entities: DataFrame) -> DataFrame:
     """doc, sha, pages, entity, vintage."""

@@ -99,13 +99,36 @@ def test_store_and_stream(spark, tmp_path):
     from factloom.streaming.ingest import ingest_stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/r1.txt").write_text("Revenue of Acme Data Bank was Rs 12,345 Cr in FY2023 in total.")
+    said = "Revenue of Acme Data Bank was Rs {} Cr in FY2023 in total. Profit of Acme Data Bank was Rs 345 Cr in total."
+    (tmp_path / "in/r1.txt").write_text(said.format("12,345"))
     store = Store(spark, str(tmp_path / "kb"))
+    run = lambda: ingest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination()
     for _ in range(2):
-        ingest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination()
-        assert store.read("documents").count() == 1 and store.read("facts").count() == 1
-        (tmp_path / "in/r1copy.txt").unlink(missing_ok=True)
-    assert store.read("documents").first()["vintage"] == 0 or store.read("documents").first()["vintage"] == 2023
+        run()
+        assert store.read("documents").count() == 1 and store.read("facts").count() == 2
+    asked = store.read("open_questions").collect()
+    assert asked and sorted(r["id"] for r in asked) == list(range(1, len(asked) + 1)) and {r["doc"] for r in asked} == {"r1.txt"}
+    assert store.read("relations").count() == 0
+    # A second document links with the first.
+    (tmp_path / "in/r2.txt").write_text(said.format("12,345"))
+    run()
+    assert "corroborates" in {r["relation"] for r in store.read("relations").collect()}
+    before = {r["attribute"]: r["count"] for r in store.read("schema_registry").collect()}
+    # A changed document replaces its facts and questions; the registry counts on.
+    store.ingest(store.read("documents").where("doc = 'r1.txt'"), store.read("facts").where("doc = 'r1.txt'"), store.read("open_questions").where("doc = 'r1.txt'").drop("id"))
+    assert store.read("facts").count() == 4 and store.read("open_questions").count() == 2 * len(asked)
+    assert all(r["count"] > before[r["attribute"]] for r in store.read("schema_registry").collect())
+    store.delete("r1.txt")
+    assert store.read("facts").count() == 2 and store.read("relations").count() == 0 and {r["doc"] for r in store.read("open_questions").collect()} == {"r2.txt"}
+    assert {r["name"]: r["n"] for r in store.stats().collect()}["documents"] == 1
+
+
+def test_alike_names_equal_brute_force(spark):
+    from factloom.functions.fuzzy import word_set_similarity
+
+    names = ["acme bank", "acme", "bank of acme", "acne", "xyz", "acme data bank ltd", "a", "nothing alike", "", "akme"]
+    got = {(r["p"], r["q"]) for r in L.alike_names(spark.createDataFrame([(n,) for n in names], "who string")).collect()}
+    assert got == {(p, q) for p in names for q in names if p == q or word_set_similarity(p, q) >= L.SUBJECT_ALIKE}
 
 
 def test_jobs():
