@@ -43,8 +43,8 @@ SAMPLE = 16
 COMMON = 8
 #: The common shingles that go to every task, the most common first; the others keep their place by hash.
 MOST_COMMON = 200_000
-#: Bits by which most candidates are ruled out before their texts are read; a multiple of 64.
-PARITIES = 1024
+#: Bits by which most candidates are ruled out before their texts are read, of sets of fewer than LARGE shingles and of others.
+PARITIES, LARGE, MORE_PARITIES = 1024, 1500, 16384
 #: A side of a join with no more rows than this may go to every task.
 SMALL_ROWS = 100_000
 
@@ -136,8 +136,9 @@ def first_shingles(own: np.ndarray, late: np.ndarray, ranks: np.ndarray) -> np.n
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """PARITIES bits: in how many of a set's hashes, odd or even, each remainder is. Where two sets' bits differ, the sets do."""
-    odd = np.bincount((own % PARITIES).astype(np.int64), minlength=PARITIES) & 1
+    """In how many of a set's hashes, odd or even, each remainder is, as bits. Where two sets' bits differ, the sets do."""
+    width = PARITIES if len(own) < LARGE else MORE_PARITIES
+    odd = np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -224,6 +225,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: DataFr
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     # |A| + |B| - 2 |A and B| is at least `differ`.
     likely = (10 + TENTHS) * (F.col("size_a") + F.col("size_b") - differ) >= 2 * TENTHS * (F.col("size_a") + F.col("size_b"))
+    likely = (F.size("bits_a") != F.size("bits_b")) | likely
     pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
     needed = cut(pairs.select(F.col("a").alias("__fp")).union(pairs.select("b")).distinct().join(classes, "__fp"))
     few = needed.count() <= SMALL_ROWS
