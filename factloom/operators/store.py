@@ -158,9 +158,9 @@ class Store:
 
     def delete(self, doc: str) -> None:
         """Removes a document and what hangs on its facts."""
-        names = [name for name in TABLES if name != "schema_registry"]
+        names = ["relations", "open_questions", "facts", "documents"]
         left = delete_document({name: self.read(name) for name in names}, doc)
-        # The documents first: a run that breaks off leaves facts of a document that is gone, which the next call removes.
+        # What hangs on the facts is written before them, as it is found by the facts that go.
         for name in names:
             self.write(name, left[name])
 
