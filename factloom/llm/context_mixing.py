@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_map, binary_list, mix, pieces, remainder, schema_with, session, table, written
+from factloom.llm.common import LONG_TEXT, arrow_map, binary_list, mix, pieces, remainder, schema_with, session, table, written
 
 #: Bytes behind which the hashed tables count, and log2 of the slots of each; then that of class and word beginning.
 SHORT, BITS = (2, 3, 4), (20, 21, 22, 21)
@@ -71,6 +71,8 @@ LEAST_BLOCKS, SMALL_BLOCK = 400, 256
 GATHERED, LOOKED_AT = 1_000_000, 1 << 16
 STEPS = 33
 HEAVY = 200_000
+#: Parts of one in which log10 counts and bits are added up.
+BASE_PARTS, BIT_PARTS = 1 << 28, 1 << 24
 END, GAP = b"\xff", 0x20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _U = np.uint64
@@ -85,34 +87,65 @@ def words_of(text: bytes | None) -> Counter[bytes]:
     return out
 
 
+def class_of(short: Counter[bytes]) -> bytes:
+    """The byte of a text's class; short: how often the text has each word of up to 3 bytes."""
+    sign = max(((n, word) for word, n in short.items()), default=(0, b""))[1]
+    return bytes((zlib.crc32(sign) % CLASSES,))
+
+
 def pairs_of(text: bytes | None) -> dict[bytes, int]:
     """How often a text has each word, with the byte of the text's class before it."""
     words = words_of(text)
-    sign = max(((n, word) for word, n in words.items() if len(word) < 4 and word != END), default=(0, b""))[1]
-    kind = bytes((zlib.crc32(sign) % CLASSES,))
+    kind = class_of({word: n for word, n in words.items() if len(word) < 4 and word != END})
     return {kind + word: n for word, n in words.items()}
 
 
+class Pairs:
+    """How often the texts added have each pair: words are counted class by class, and joined to the class once at the end."""
+
+    def __init__(self) -> None:
+        self.by_class: dict[bytes, Counter[bytes]] = {}
+        self.held = 0
+
+    def add(self, text: bytes | None) -> None:
+        text = text or b""
+        if len(text) > LONG_TEXT:
+            words = words_of(text)
+            kind = class_of({word: n for word, n in words.items() if len(word) < 4 and word != END})
+        else:
+            words = text.lower().split()
+            kind = class_of(Counter([word for word in words if len(word) < 4]))
+            words.append(END)
+        own = self.by_class.setdefault(kind, Counter())
+        before = len(own)
+        own.update(words)
+        self.held += len(own) - before
+
+    def taken(self) -> dict[bytes, int]:
+        out = {kind + word: n for kind, own in self.by_class.items() for word, n in own.items()}
+        self.by_class, self.held = {}, 0
+        return out
+
+
 def count_pairs(texts: DataFrame) -> DataFrame:
     """(key, n, m) of (text, learned from): how often training and all texts have each pair."""
 
     def run(batches):
-        seen, rest = Counter(), Counter()
+        seen, rest = Pairs(), Pairs()
 
         def out():
-            keys = list(seen.keys() | rest.keys())
-            n = [seen.get(k, 0) for k in keys]
-            m = [a + rest.get(k, 0) for a, k in zip(n, keys, strict=True)]
-            seen.clear()
-            rest.clear()
+            own, other = seen.taken(), rest.taken()
+            keys = list(own.keys() | other.keys())
+            n = [own.get(k, 0) for k in keys]
+            m = [a + other.get(k, 0) for a, k in zip(n, keys, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["key", "n", "m"])
 
         for batch in batches:
             for data, own in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                (seen if own else rest).update(pairs_of(data))
-                if len(seen) + len(rest) > 400_000:
+                (seen if own else rest).add(data)
+                if seen.held + rest.held > 400_000:
                     yield out()
-        if seen or rest:
+        if seen.held or rest.held:
             yield out()
 
     return texts.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -498,27 +531,34 @@ def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") ->
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal number
-            rows = []
+            rows, keys, times, ends = [], [], [], [0]
             for data in binary_list(batch.column(len(keep))):
-                seen = pairs_of(data)
-                rare = [(key, n) for key, n in seen.items() if key not in known]
-                often = [(known[key], n) for key, n in seen.items() if key in known]
-                size = sum(len(key) * n for key, n in seen.items())
-                bits, base, found = (math.fsum(value[k] * n for value, n in often) for k in range(3))
-                rows.append((first + number, sum(seen.values()), int(found), base, size, bits, [{"key": key, "n": n} for key, n in rare]))
+                seen, often, counts = pairs_of(data), [], []
+                for key, n in seen.items():
+                    if key in known:
+                        often.append(known[key])
+                        counts.append(n)
+                    else:
+                        keys.append(key)
+                        times.append(n)
+                ends.append(len(keys))
+                bits, base, found = (math.sumprod(value, counts) for value in zip(*often, strict=True)) if often else (0.0, 0.0, 0)
+                rows.append((first + number, sum(seen.values()), found, base, math.sumprod(map(len, seen), seen.values()), bits))
                 number += 1
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())])))
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=[*keep, "__row", "n_tokens", "__known", "__base", "__bytes", "__bits", "__rare"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            rare = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(times, pa.int64())], names=["key", "n"])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare))
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*keep, "__row", "n_tokens", "__known", "__base", "__bytes", "__bits", "__rare"])
 
         return step
 
     scored = written(arrow_map(source, make, schema_with(source, keep, "__row long, n_tokens long, __known long, __base double, __bytes long, __bits double, __rare array<struct<key:binary,n:long>>")), "scored")
     rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.key", F.col("r.n").alias("times"))
     found = rare.join(costs.where(F.col("m") < least).select("key", "bits", "n_word"), "key")
-    # Decimals add up to the same sum in any order.
-    exact = lambda x: F.sum(x.cast("decimal(30,12)"))
-    added = found.groupBy("__row").agg(exact(F.col("times") * F.log10(F.col("n_word") + 0.5)).alias("__more"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("__found"), exact(F.col("times") * F.col("bits")).alias("__cost"))
+    # Whole numbers of small parts add up to the same sum in any order, and fit a long for texts of 2 GB.
+    exact = lambda x, parts: F.sum(F.round(F.col("times") * x * F.lit(float(parts))).cast("long")) / F.lit(float(parts))
+    added = found.groupBy("__row").agg(exact(F.log10(F.col("n_word") + 0.5), BASE_PARTS).alias("__more"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("__found"), exact(F.col("bits"), BIT_PARTS).alias("__cost"))
     whole = scored.drop("__rare").join(added, "__row", "left")
     of = lambda name, kind: F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind))
     bits = F.col("__bits") + of("__cost", "double") + F.lit(math.log2(CLASSES))
