@@ -38,6 +38,8 @@ BUDGET = 2
 MAX_LEAVES = 200_000
 #: So many ids of 8 bytes may go to every task.
 SMALL_IDS = 1_000_000
+#: Of so many links, 16 bytes each, one task finds the components; of more, rounds of joins do.
+ONE_TASK = 500_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Block numbers, first block first, of the six bit orders.
 ORDERS = [(*two, *(k for k in range(4) if k not in two)) for two in combinations(range(4), 2)]
@@ -215,15 +217,39 @@ def links(prints: DataFrame, budget: int = BUDGET, max_leaves: int = MAX_LEAVES)
     return dealt.mapInArrow(lambda batches: _walk(batches, budget), "a long, b long").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of every node in the edges (u, v) of all batches."""
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        up = parent.setdefault(node, node)
+        while up != node:
+            parent[node] = up = parent[up]
+            node, up = up, parent[up]
+        return node
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            least, other = sorted((root(u), root(v)))
+            parent[other] = least
+    nodes = list(parent)
+    for first in range(0, len(nodes), 50_000):
+        some = nodes[first : first + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], names=["node", "root"])
+
+
+def components(pairs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of every node in the pairs (a, b): root is the least node that can be reached.
 
-    Large-star and small-star rounds; all edges stay distributed and each round is cut with checkpoint().
+    Large-star and small-star rounds; all edges stay distributed and each round is cut with checkpoint(). What has no more
+    than one_task edges, at first or after a round, is joined up in one task, with the same result.
     """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = sign(edges)
     while True:
+        if before[0] <= one_task:
+            return cut(edges.coalesce(1).mapInArrow(_roots, "node long, root long"))
         # No key is hot as long as there are no more edges than a hot key has.
         join = join_hot if before[0] > HOT else lambda left, right, key: left.join(right.drop("__n"), key)
         near = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))

@@ -130,8 +130,13 @@ def test_links_and_components(spark, max_leaves):
     for a, b in want:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
-    roots = {r["node"]: r["root"] for r in simhash_dedup.components(spark.createDataFrame(list(want), "a long, b long")).collect()}
-    assert roots == {n: find(n) for pair in want for n in pair}
+    for one_task in (simhash_dedup.ONE_TASK, 0):  # in one task, and by rounds of joins
+        rows = simhash_dedup.components(spark.createDataFrame(list(want), "a long, b long"), one_task).collect()
+        assert len(rows) == len({n for pair in want for n in pair})
+        assert {r["node"]: r["root"] for r in rows} == {n: find(n) for pair in want for n in pair}
+    chain = spark.range(3000).selectExpr("3000 - id as a", "2999 - id as b")
+    assert {(r["node"], r["root"]) for r in simhash_dedup.components(chain).collect()} == {(n, 0) for n in range(3001)}
+    assert simhash_dedup.components(chain.where("false")).count() == 0
 
 
 def test_near_duplicates_on_odd_rows(nasty, empty):
