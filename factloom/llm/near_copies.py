@@ -3,17 +3,18 @@
 This is the SimHash operator's form for that rule. Its fingerprints are those of five-word shingles, and its trie self-join
 proposes the first pairs: equal fingerprints and those that differ in two bits or fewer. But two sets of that similarity
 differ in 10 of 64 bits on average, in up to 17, and a trie can't prune before the budget is spent. So what the trie
-leaves out is found by a prefix filter, in two more rounds; all pairs, from wherever, are verified by the sets themselves.
+leaves out is found by a prefix filter, in three more rounds; all pairs, from wherever, are verified by the sets themselves.
 
 Of two sets that are so similar, the first 0.2 * n + 1 shingles in any order that holds for all sets have one in
 common. The order puts shingles that stand in many documents last (counted in one of SAMPLE sets), the others by their
 hash. Each set is dealt out under its first shingles; sets that meet under one are candidates if their sizes and the
-shingle's places still allow the similarity. Candidates that the parities of their hashes don't
-rule out are compared by their whole sets. No link is left to chance;
+shingle's places still allow the similarity, and the parities of their hashes, of which each row carries a sketch, don't
+rule it out. Candidates that more parities leave are compared by their whole sets. No link is left to chance;
 only the 64-bit hashes stand for the shingles and for equal sets.
 
-A large group is not compared pair by pair: in the prefix filter's first round, the sets under a shingle are compared with
-the smallest of similar size only, and each round leaves out all pairs that links connect already.
+A large group is not compared pair by pair: in the prefix filter's rounds but the last, a set under a shingle is a candidate
+with the likeliest leader it may be similar to, and a leader itself if there is none; and each round leaves out all pairs that
+links connect already. The last round takes all pairs that are left.
 
 Edge cases: columns of any names and types are carried through; an empty table gives no rows; of texts with fewer than five words all words are the one shingle; null and wordless texts have the empty
 set and are copies of one another. Ids and repeated rows are treated as in simhash_dedup.keep_one.
@@ -45,6 +46,8 @@ COMMON = 8
 MOST_COMMON = 200_000
 #: Bits by which most candidates are ruled out before their texts are read, of sets of fewer than LARGE shingles and of others.
 PARITIES, LARGE, MORE_PARITIES = 1024, 1500, 16384
+#: Rounds of the prefix filter in which a set is a candidate with one other under each shingle, before the one with all.
+LEADER_ROUNDS = 2
 #: A side of a join with no more rows than this may go to every task.
 SMALL_ROWS = 100_000
 
@@ -142,8 +145,13 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def sketch(bits: np.ndarray) -> bytes:
+    """A set's parities by PARITIES remainders, of those by any multiple of them."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, PARITIES // 64), axis=0).tobytes()
+
+
 def _sets(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(__fp, size, first, bits) of every distinct set that isn't empty."""
+    """(__fp, size, first, bits, sketch) of every distinct set that isn't empty."""
     sampled = prints.where(F.col("own").isNotNull()).dropDuplicates(["__fp"])
     often = sampled.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = [(r["token"], r["n"]) for r in often.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()]
@@ -153,9 +161,14 @@ def _sets(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     def values():
         known = shared.value
-        return lambda own: (label(own), len(own), _signed(first_shingles(own, *known)), _signed(parities(own)))
 
-    sets = _mapped(docs.select("__text"), [], values, "__fp long, size int, first array<long>, bits array<long>").where("size > 0")
+        def of(own: np.ndarray):
+            bits = parities(own)
+            return label(own), len(own), _signed(first_shingles(own, *known)), _signed(bits), sketch(bits)
+
+        return of
+
+    sets = _mapped(docs.select("__text"), [], values, "__fp long, size int, first array<long>, bits array<long>, sketch binary").where("size > 0")
     return written(sets.dropDuplicates(["__fp"]), "sets")
 
 
@@ -189,8 +202,8 @@ def _may(size_a: int, at_a: int, size_b: int, at_b: int) -> bool:
 
 
 def _candidates(batches: Iterable[pa.RecordBatch], star: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and size: pairs of labels that may be similar; star: only with one of similar size."""
-    key, near, found = None, [], set()
+    """Of rows sorted by token and size: pairs of labels that may be similar; star: of each with the likeliest leader only."""
+    key, near, least, found = None, {}, 0, set()  # near: by root, those of similar size, by size; if star, the leaders
 
     def out() -> pa.RecordBatch:
         pairs = np.array(list(found), np.int64).reshape(-1, 2)
@@ -198,16 +211,28 @@ def _candidates(batches: Iterable[pa.RecordBatch], star: bool) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        for token, size, name, at, root in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for token, size, name, at, root, drawn in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if token != key:
-                key, near = token, []
-            if near and 10 * near[0][0] < TENTHS * size:
-                near = [x for x in near if 10 * x[0] >= TENTHS * size]
-            for other in near:
-                if other[3] != root and _may(other[0], other[2], size, at):
-                    found.add((min(other[1], name), max(other[1], name)))
-            if not star or not near:
-                near.append((size, name, at, root))
+                key, near, least = token, {}, size
+            if near and 10 * least < TENTHS * size:
+                near = {r: own for r, others in near.items() if (own := [x for x in others if 10 * x[0] >= TENTHS * size])}
+                least = min((own[0][0] for own in near.values()), default=size)
+            bits, best = int.from_bytes(drawn, "little"), None
+            for other_root, others in near.items():
+                if other_root == root:
+                    continue
+                for other in others:
+                    both, differ = other[0] + size, (other[3] ^ bits).bit_count()
+                    # |A| + |B| - 2 |A and B| is at least `differ`.
+                    if (10 + TENTHS) * (both - differ) >= 2 * TENTHS * both and _may(other[0], other[2], size, at):
+                        if not star:
+                            found.add((min(other[1], name), max(other[1], name)))
+                        elif best is None or differ * best[1] < best[0] * both:
+                            best = differ, both, other[1]
+            if best:
+                found.add((min(best[2], name), max(best[2], name)))
+            else:
+                near.setdefault(root, []).append((size, name, at, bits))
             if len(found) > 50_000:
                 yield out()
     if found:
@@ -215,7 +240,7 @@ def _candidates(batches: Iterable[pa.RecordBatch], star: bool) -> Iterator[pa.Re
 
 
 def _met(dealt: DataFrame, star: bool) -> DataFrame:
-    rows = dealt.select("token", "size", "__fp", "at", "root").repartition("token").sortWithinPartitions("token", "size", "__fp")
+    rows = dealt.select("token", "size", "__fp", "at", "root", "sketch").repartition("token").sortWithinPartitions("token", "size", "__fp")
     return rows.mapInArrow(lambda batches: _candidates(batches, star), "a long, b long").distinct()
 
 
@@ -277,9 +302,10 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
         dealt = _dealt(sets)
     own_files += more_files
     freed(docs.sparkSession)
-    for star in (True, False):
+    for star in [True] * LEADER_ROUNDS + [False]:
         roots = components(found)
-        rooted = dealt.join(roots, dealt["__fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "__fp"))
+        named = sets.select("__fp", "sketch").join(roots, sets["__fp"] == roots["node"], "left")
+        rooted = dealt.join(named.select("__fp", "sketch", F.coalesce("root", "__fp").alias("root")), "__fp")
         found = cut(found.unionByName(_similar(_met(rooted, star), docs, classes, sets)).distinct())
     removed(docs.sparkSession, own_files)
     return found

@@ -61,3 +61,42 @@ def test_dedup_stage_on_odd_rows(spark, nasty, empty):
     assert kept.columns == nasty.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 8]
     assert corpus_pipeline.dedup(spark, empty, "").count() == 0
+
+
+def test_large_group_gives_few_candidates(spark, monkeypatch):
+    """Pairs around the similarity, many of them with one passage in common: candidates follow the group, not its square."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    rows = []
+    for k in range(300):
+        text = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10_000)}"
+        rows.append((k, " ".join(text)))
+    seen = []
+    similar = near_copies._similar
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_similar", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
+    sets, root = [own_set(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert kept == set(root)
+    assert sum(seen) < 10 * len(rows)
+
+
+def test_sketch_is_of_the_parities_of_fewer_remainders():
+    import numpy as np
+
+    for n in (0, 1, 700, 3000):
+        own = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64))
+        odd = np.bincount((own % np.uint64(near_copies.PARITIES)).astype(np.int64), minlength=near_copies.PARITIES) & 1
+        assert near_copies.sketch(near_copies.parities(own)) == np.packbits(odd.astype(np.uint8)).tobytes()
