@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -130,15 +131,24 @@ def schema_with(rows: DataFrame, keep: Iterable[str], more: str) -> StructType:
     return StructType([*(rows.schema[c] for c in keep), *StructType.fromDDL(more).fields])
 
 
+def trimmed() -> None:
+    """Gives what a Python worker has freed back to the system: workers are used again, by tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
     """mapInArrow with one state a task: make() runs once in each task and returns what maps each batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step, batch, out = make(), None, None
         for batch in batches:
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
+        del step, batch, out
+        trimmed()
 
     return df.mapInArrow(run, schema)
 

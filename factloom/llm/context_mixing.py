@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LONG_TEXT, arrow_map, binary_list, mix, pieces, remainder, schema_with, session, table, written
+from factloom.llm.common import LONG_TEXT, arrow_map, binary_list, mix, pieces, remainder, schema_with, session, table, trimmed, written
 
 #: Bytes behind which the hashed tables count, and log2 of the slots of each; then that of class and word beginning.
 SHORT, BITS = (2, 3, 4), (20, 21, 22, 21)
@@ -93,10 +93,15 @@ def class_of(short: Counter[bytes]) -> bytes:
     return bytes((zlib.crc32(sign) % CLASSES,))
 
 
+def kind_of(words: Counter[bytes]) -> bytes:
+    """The byte of the class of a text that has these words."""
+    return class_of({word: n for word, n in words.items() if len(word) < 4 and word != END})
+
+
 def pairs_of(text: bytes | None) -> dict[bytes, int]:
     """How often a text has each word, with the byte of the text's class before it."""
     words = words_of(text)
-    kind = class_of({word: n for word, n in words.items() if len(word) < 4 and word != END})
+    kind = kind_of(words)
     return {kind + word: n for word, n in words.items()}
 
 
@@ -111,7 +116,7 @@ class Pairs:
         text = text or b""
         if len(text) > LONG_TEXT:
             words = words_of(text)
-            kind = class_of({word: n for word, n in words.items() if len(word) < 4 and word != END})
+            kind = kind_of(words)
         else:
             words = text.lower().split()
             kind = class_of(Counter([word for word in words if len(word) < 4]))
@@ -147,6 +152,7 @@ def count_pairs(texts: DataFrame) -> DataFrame:
                     yield out()
         if seen.held or rest.held:
             yield out()
+        trimmed()
 
     return texts.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -193,6 +199,7 @@ def _contexts(four: np.ndarray | None, placed: np.ndarray | None, begun: np.ndar
 
 _STARTS = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(_STARTS[-1])
+_SHIFTS = np.array([[64 - b] for b in BITS], _U)
 
 
 def _slots(contexts: list[np.ndarray | None], byte: np.ndarray, bit: int) -> list[np.ndarray | None]:
@@ -201,6 +208,12 @@ def _slots(contexts: list[np.ndarray | None], byte: np.ndarray, bit: int) -> lis
     return [None if c is None else (mix(c + so_far) >> _U(64 - b)).astype(np.int64) + s for c, b, s in zip(contexts, BITS, _STARTS, strict=False)]
 
 
+def _all_slots(contexts: np.ndarray, byte: np.ndarray, bit: int) -> np.ndarray:
+    """As _slots(), of the contexts of all tables in one array."""
+    so_far = (_U(1 << bit) | (byte.astype(_U) >> _U(8 - bit))) * _U(0xD6E8FEB86659FD93)
+    return (mix(contexts + so_far) >> _SHIFTS).astype(np.int64) + _STARTS[:-1, None]
+
+
 def _short_counts(counted: DataFrame) -> DataFrame:
     """(kind, key, n): how often a byte stands behind 4 bytes (0), behind 2 bytes at a place (1), and behind a class and a word's beginning (2)."""
 
@@ -235,6 +248,7 @@ def _short_counts(counted: DataFrame) -> DataFrame:
         for kind, own in enumerate(held):
             if own:
                 yield out(kind)
+        trimmed()
 
     parts = counted.where("n > 0").select("key", "n").mapInArrow(run, "kind int, key long, n long")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -275,6 +289,7 @@ def _hashed_counts(counted: DataFrame) -> dict[int, bytes]:
                 size = 0
         if size:
             yield out()
+        trimmed()
 
     def page(group: pa.Table) -> pa.Table:
         n = np.zeros((2, PAGE))
@@ -341,8 +356,8 @@ class Edges:
             byte.append(step[first])
             weight.append(total)
             for kind, pick in (("word", found["word"][2][first]), ("pair", slice(None))):
-                split = self._splits(found[kind][0], found[kind][3]) if level >= SPLIT else np.zeros((16, len(found[kind][0])), np.float32)
-                counts[kind].append(split[:, pick])
+                split = self._splits(found[kind][0], found[kind][3]) if level >= SPLIT else np.zeros((len(found[kind][0]), 16), np.float32)
+                counts[kind].append(split[pick])
         # What lies further on in a word is a step of its own.
         lengths = spelled.lengths
         far = np.flatnonzero(np.arange(n_bytes) - np.repeat(spelled.starts, lengths) >= LIMIT)
@@ -351,19 +366,19 @@ class Edges:
         byte.append(spelled.bytes[far].astype(np.int64))
         weight.append(np.repeat(times, lengths)[far])
         self.at, self.byte, self.weight = (np.concatenate(x) for x in (at, byte, weight))
-        self.counts = {kind: np.concatenate([*own, np.zeros((16, len(far)), np.float32)], axis=1) for kind, own in counts.items()}
+        self.counts = {kind: np.concatenate([*own, np.zeros((len(far), 16), np.float32)]).T for kind, own in counts.items()}  # an edge's lie side by side
 
     @staticmethod
     def _splits(edges: np.ndarray, total: np.ndarray) -> np.ndarray:
         """For sorted edges (node, byte) and their counts: zeros and ones at each bit on the way to the byte."""
         sums = np.concatenate(([0.0], np.cumsum(total)))
-        out = np.empty((16, len(edges)), np.float32)
+        out = np.empty((len(edges), 16), np.float32)
         low, value = np.searchsorted(edges, edges & ~0xFF), edges & ~0xFF
         high = np.searchsorted(edges, (edges | 0xFF) + 1)
         for bit in range(8):
             middle = value + (128 >> bit)
             mid = np.searchsorted(edges, middle)
-            out[2 * bit], out[2 * bit + 1] = sums[mid] - sums[low], sums[high] - sums[mid]
+            out[:, 2 * bit], out[:, 2 * bit + 1] = sums[mid] - sums[low], sums[high] - sums[mid]
             one = (edges >> (7 - bit)) & 1 > 0
             low, high, value = np.where(one, mid, low), np.where(one, high, mid), np.where(one, middle, value)
         return out
@@ -373,59 +388,65 @@ class Mixer:
     """The hashed tables, the weights and the refining map."""
 
     def __init__(self, hashed: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None) -> None:
-        self.hashed, self.refine = hashed, refine
+        # Zeros and ones of a slot as one number of 8 bytes.
+        self.hashed, self.refine = np.ascontiguousarray(hashed.T, np.float32).view(_U).ravel(), refine
         self.weights = np.full((GATES, PREDICTORS + 1), 0.25) if weights is None else weights.copy()
         self.slopes = np.full((GATES, PREDICTORS + 1), 1e-4)
 
-    def inputs(self, edges: Edges, own: np.ndarray, keys: tuple[np.ndarray, ...], bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bit, the log odds of each predictor (and a constant), and the gate, of the edges `own`."""
-        byte = edges.byte[own]
-        one = ((byte >> (7 - bit)) & 1).astype(np.float32)
-        x = np.empty((len(own), PREDICTORS + 1), np.float32)
-        x[:, PREDICTORS] = 0.3
+    def inputs(self, edges: Edges, own: np.ndarray, leave_out: bool):
+        """For each bit of the bytes of the edges `own`: the bit, the log odds of each predictor (and a constant), and the gate."""
+        byte, keys = edges.byte[own], edges.spelled.keys(edges.at[own])
         # The first bytes of a word are all that 4 bytes can hold.
-        begun = keys[2] != NONE
-        hashed = [[self.hashed[v][slot] for v in (0, 1)] for slot in _slots(_contexts(*keys), byte, bit)]
-        long = [[np.where(begun, hashed[t][v], edges.counts[kind][2 * bit + v][own]) for v in (0, 1)] for t, kind in ((2, "word"), (3, "pair"))]
-        seen = []
-        for k, (n0, n1) in enumerate([*hashed[:3], *long]):
+        begun, contexts = keys[2] != NONE, np.stack(_contexts(*keys))
+        word, pair = (np.ascontiguousarray(edges.counts[kind].T[own].T) for kind in ("word", "pair"))
+        n = np.empty((PREDICTORS, 2, len(own)), np.float32)
+        x = np.full((PREDICTORS + 1, len(own)), 0.3, np.float32)
+        for bit in range(8):
+            one = ((byte >> (7 - bit)) & 1).astype(np.float32)
+            hashed = self.hashed.take(_all_slots(contexts, byte, bit)).view(np.float32).reshape(len(BITS), -1, 2).transpose(0, 2, 1)
+            n[:3] = hashed[:3]
+            for k, table, counts in ((3, 2, word), (4, 3, pair)):
+                n[k] = np.where(begun, hashed[table], counts[2 * bit : 2 * bit + 2])
             if leave_out:
-                n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
-            x[:, k] = _stretch(n0, n1)
-            seen.append(n0 + n1)
-        gate = ((_bucket(seen[3]) * 5 + _bucket(seen[4])) * 2 + (seen[2] > 3.5)) * 8 + bit
-        return one, x, gate
+                n[:, 0] -= 1 - one
+                n[:, 1] -= one
+                np.maximum(n, 0, out=n)
+            x[:PREDICTORS] = _stretch(n[:, 0], n[:, 1])
+            seen = _bucket(n[3:, 0] + n[3:, 1])
+            gate = ((seen[0] * 5 + seen[1]) * 2 + (n[2, 0] + n[2, 1] > 3.5)) * 8 + bit
+            yield one, x, gate
+
+    def odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ji->i", self.weights.take(gate, axis=0), x)
 
     def learn(self, edges: Edges, own: np.ndarray, cells: np.ndarray) -> None:
         """One online step a bit, over a block of edges; a weight's steps get smaller as its gradients add up.
 
         cells: weighted numbers of bits and of ones for each cell of the refining map, to which the block is added.
         """
-        keys, times = edges.spelled.keys(edges.at[own]), edges.weight[own]
-        for bit in range(8):
-            one, x, gate = self.inputs(edges, own, keys, bit, True)
-            z = np.einsum("ij,ij->i", self.weights[gate], x)
-            low, part = _cell(z, edges.byte[own], bit)
-            for at, share in ((low, (1 - part) * times), (low + 1, part * times)):
-                cells[0] += np.bincount(at, share, cells.shape[1])
-                cells[1] += np.bincount(at, share * one, cells.shape[1])
+        times, byte = edges.weight[own], edges.byte[own]
+        for bit, (one, x, gate) in enumerate(self.inputs(edges, own, True)):
+            z = self.odds(x, gate)
+            low, part = _cell(z, byte, bit)
+            at, share = np.concatenate((low, low + 1)), np.concatenate(((1 - part) * times, part * times))
+            cells[0] += np.bincount(at, share, cells.shape[1])
+            cells[1] += np.bincount(at, share * np.tile(one, 2), cells.shape[1])
             miss = (one - _squash(z)) * times
             total = np.maximum(np.bincount(gate, times, GATES), 1e-9)
-            slope = np.stack([np.bincount(gate, miss * x[:, k], GATES) for k in range(PREDICTORS + 1)], axis=1) / total[:, None]
+            each = (gate + GATES * np.arange(PREDICTORS + 1)[:, None]).ravel()
+            slope = np.bincount(each, (miss * x).ravel(), len(x) * GATES).reshape(len(x), GATES).T / total[:, None]
             self.slopes += slope * slope
             self.weights += RATE * slope / np.sqrt(self.slopes)
             np.clip(self.weights, -4, 4, out=self.weights)
 
     def costs(self, edges: Edges, own: np.ndarray) -> np.ndarray:
         """Bits that each edge's byte costs."""
-        out = np.zeros(len(own))
-        keys = edges.spelled.keys(edges.at[own])
-        for bit in range(8):
-            one, x, gate = self.inputs(edges, own, keys, bit, False)
-            z = np.einsum("ij,ij->i", self.weights[gate], x)
+        out, byte = np.zeros(len(own)), edges.byte[own]
+        for bit, (one, x, gate) in enumerate(self.inputs(edges, own, False)):
+            z = self.odds(x, gate)
             p = _squash(z)
             if self.refine is not None:
-                low, part = _cell(z, edges.byte[own], bit)
+                low, part = _cell(z, byte, bit)
                 p = (p + self.refine[low] * (1 - part) + self.refine[low + 1] * part) / 2
             out -= np.log2(np.clip(np.where(one > 0, p, 1 - p), 1e-6, 1 - 1e-6))
         return out
@@ -437,12 +458,12 @@ def _blocks(n: int, size: int, order: np.ndarray | None = None):
 
 
 def hashed_of(model: dict) -> np.ndarray:
-    """The hashed tables, unpacked once in a worker."""
+    """The hashed tables' zeros and ones, unpacked once in a worker; those of a slot lie side by side."""
     if "hashed" not in model:
-        n = np.zeros((2, -(-SLOTS // PAGE) * PAGE), np.float32)
+        n = np.zeros((-(-SLOTS // PAGE) * PAGE, 2), np.float32)
         for page, data in model["pages"].items():
-            n[:, page * PAGE : (page + 1) * PAGE] = np.frombuffer(zlib.decompress(data), np.float16).reshape(2, PAGE)
-        model["hashed"] = n
+            n[page * PAGE : (page + 1) * PAGE] = np.frombuffer(zlib.decompress(data), np.float16).reshape(2, PAGE).T
+        model["hashed"] = n.T
     return model["hashed"]
 
 
@@ -466,6 +487,7 @@ def word_costs(texts: DataFrame) -> DataFrame:
     if learned:
 
         def learn(group: pa.Table) -> pa.Table:
+            trimmed()
             keys, n, _ = _sorted(group)
             edges, mixer = Edges(keys, n), Mixer(hashed_of(shared.value))
             own = np.flatnonzero(edges.weight > 0)
@@ -494,6 +516,7 @@ def word_costs(texts: DataFrame) -> DataFrame:
     mixed = spark.sparkContext.broadcast((weights, cells if learned else None))
 
     def cost(group: pa.Table) -> pa.Table:
+        trimmed()
         keys, n, m = _sorted(group)
         edges, mixer = Edges(keys, n), Mixer(hashed_of(shared.value), *mixed.value)
         each = np.concatenate([mixer.costs(edges, block) for block in _blocks(len(edges.at), LOOKED_AT)])
@@ -526,24 +549,29 @@ def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") ->
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def make():
-        known = shared.value
+        known: dict[bytes, dict] = {}
+        for key, value in shared.value.items():
+            known.setdefault(key[:1], {})[key[1:]] = value
         first, number = TaskContext.get().partitionId() << 33, 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal number
             rows, keys, times, ends = [], [], [], [0]
             for data in binary_list(batch.column(len(keep))):
-                seen, often, counts = pairs_of(data), [], []
-                for key, n in seen.items():
-                    if key in known:
-                        often.append(known[key])
+                words, often, counts = words_of(data), [], []
+                kind = kind_of(words)
+                own = known.get(kind, {})
+                for word, n in words.items():
+                    if (value := own.get(word)) is not None:
+                        often.append(value)
                         counts.append(n)
                     else:
-                        keys.append(key)
+                        keys.append(kind + word)
                         times.append(n)
                 ends.append(len(keys))
                 bits, base, found = (math.sumprod(value, counts) for value in zip(*often, strict=True)) if often else (0.0, 0.0, 0)
-                rows.append((first + number, sum(seen.values()), found, base, math.sumprod(map(len, seen), seen.values()), bits))
+                size = words.total()
+                rows.append((first + number, size, found, base, math.sumprod(map(len, words), words.values()) + size, bits))
                 number += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -555,7 +583,8 @@ def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") ->
 
     scored = written(arrow_map(source, make, schema_with(source, keep, "__row long, n_tokens long, __known long, __base double, __bytes long, __bits double, __rare array<struct<key:binary,n:long>>")), "scored")
     rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.key", F.col("r.n").alias("times"))
-    found = rare.join(costs.where(F.col("m") < least).select("key", "bits", "n_word"), "key")
+    # Each pair has one row of costs, so a task's share of them is small: the documents' pairs needn't be sorted.
+    found = rare.join(costs.where(F.col("m") < least).select("key", "bits", "n_word").hint("shuffle_hash"), "key")
     # Whole numbers of small parts add up to the same sum in any order, and fit a long for texts of 2 GB.
     exact = lambda x, parts: F.sum(F.round(F.col("times") * x * F.lit(float(parts))).cast("long")) / F.lit(float(parts))
     added = found.groupBy("__row").agg(exact(F.log10(F.col("n_word") + 0.5), BASE_PARTS).alias("__more"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("__found"), exact(F.col("bits"), BIT_PARTS).alias("__cost"))
