@@ -31,8 +31,8 @@ Learning, all of it over all training documents:
 What belongs to a group follows from the data alone, not from how Spark deals out tasks, and is put together in the groups'
 order: the same documents always give the same scores.
 
-A unigram base goes with it, by counts of words that are summed in the same groups. Pairs that make up at least one in HEAVY of all tokens (so at most HEAVY of
-them) go to every task; the others are joined.
+A unigram base goes with it, by counts of words that are summed in the same groups. The most frequent pairs, at most HEAVY, go to
+every task; the others are joined.
 
 Edge cases: null texts are empty; an empty text has its end only; without training documents every bit costs one bit
 and every token's base term is 0; an empty table gives no rows. Repeated rows and null ids stay and are scored each for
@@ -46,9 +46,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +71,13 @@ RATE, BLOCK = 0.15, 4096
 LEAST_BLOCKS, SMALL_BLOCK = 400, 256
 #: Numbers that a task gathers before it sums them up, and bytes that it looks at together.
 GATHERED, LOOKED_AT = 1_000_000, 1 << 16
+#: Bytes of pairs and their counts, each run's for itself, that a task gathers before it sums them up.
+COUNTED = 48 << 20
 STEPS = 33
+#: The most frequent pairs, at most so many, go to every task.
 HEAVY = 200_000
-#: Parts of one in which log10 counts and bits are added up.
-BASE_PARTS, BIT_PARTS = 1 << 28, 1 << 24
+#: Parts of one in which log10 counts (coarse, then what these leave over, fine) and bits are added up.
+COARSE, FINE, BIT_PARTS = 1 << 20, 1 << 48, 1 << 24
 END, GAP = b"\xff", 0x20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _U = np.uint64
@@ -105,53 +110,152 @@ def pairs_of(text: bytes | None) -> dict[bytes, int]:
     return {kind + word: n for word, n in words.items()}
 
 
+class Tokens:
+    """The words of texts and the texts' ends, one after another in one run of bytes, each behind the byte of its text's class."""
+
+    def __init__(self, texts: list[bytes], kind: int | None = None, end: bool = True) -> None:
+        """kind: the class of all texts, if it is known; end: whether the texts end here."""
+        tail = b" " + END if end else b""
+        data = (b" " + (tail + b" ").join(texts) + tail + b" ").translate(_FOLD)
+        codes = np.frombuffer(data, np.uint8)
+        blank = codes == GAP
+        gaps = np.flatnonzero(blank[:-1] & ~blank[1:])  # the blank before each word
+        first = np.searchsorted(gaps, np.cumsum([0, *(len(t) + len(tail) + 1 for t in texts[:-1])]))
+        #: Of each text, how many words it has; of each word, its text.
+        self.words = np.diff(np.append(first, len(gaps)))
+        self.text = np.repeat(np.arange(len(texts)), self.words)
+        more = blank[:-1] & blank[1:]
+        self.codes = codes[:-1][~more]
+        self.starts = gaps - np.searchsorted(np.flatnonzero(more), gaps)
+        #: Bytes of each word with its class's.
+        self.lengths = np.diff(np.append(self.starts, len(self.codes)))
+        if kind is None:
+            short = self.lengths < 5
+            if end:
+                short[first[1:] - 1] = short[-1:] = False
+            signs, times = self._signs(np.flatnonzero(short))
+            best, texts_of = np.zeros(len(texts), _U), (signs >> _U(32)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(texts_of, prepend=-1))
+            if len(edges):
+                best[texts_of[edges]] = np.maximum.reduceat(times.astype(_U) << _U(32) | signs & _U(0xFFFFFFFF), edges)
+            sign, place = np.unique(best & _U(0xFFFFFFFF), return_inverse=True)
+            self.kinds = np.array([kind_of_sign(x) for x in sign.tolist()], np.uint8)[place]
+        else:
+            self.kinds = np.full(len(texts), kind, np.uint8)
+        self.codes[self.starts] = self.kinds[self.text]
+
+    def _signs(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words `own`, of up to 3 bytes: each text with each word, as one number in the words' order, and how often it has it."""
+        at, length, value = self.starts[own], self.lengths[own] - 1, self.text[own].astype(_U) << _U(32)
+        for k in range(3):
+            value |= np.where(length > k, self.codes.take(at + k + 1, mode="clip"), 0).astype(_U) << _U(24 - 8 * k)
+        return np.unique(value | length.astype(_U), return_counts=True)
+
+    def pairs(self) -> pa.Array:
+        """Each word behind the byte of its text's class."""
+        offsets = np.append(self.starts, len(self.codes)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(self.codes)])
+
+    def signs(self) -> dict[int, int]:
+        """How often one text, which doesn't end here, has each word of up to 3 bytes, as a number."""
+        return dict(zip(*(x.tolist() for x in self._signs(np.flatnonzero(self.lengths < 5))), strict=True))
+
+
+_FOLD = bytes(GAP if c in b" \t\n\v\f\r" else c + 32 if c in range(65, 91) else c for c in range(256))
+
+
+def kind_of_sign(sign: int) -> int:
+    """The class by a word of up to 3 bytes, given as those bytes and then their number."""
+    data = sign.to_bytes(4, "big")
+    return zlib.crc32(data[: data[3]]) % CLASSES
+
+
+def tokens_of(texts: list[bytes | None]) -> Iterator[tuple[int, Tokens]]:
+    """Number of the first text, and the tokens of texts of up to LONG_TEXT bytes together; a longer text comes piece by piece."""
+    held, total, first = [], 0, 0
+    for k, data in enumerate(texts):
+        data = data or b""
+        if held and total + len(data) > LONG_TEXT:
+            yield first, Tokens(held)
+            held, total = [], 0
+        if len(data) > LONG_TEXT:
+            short: Counter[int] = Counter()
+            for part in pieces(data, _SPACE):
+                short.update(Tokens([part], 0, end=False).signs())
+            kind = kind_of_sign(max(((n, sign) for sign, n in short.items()), default=(0, 0))[1])
+            for part in pieces(data, _SPACE):
+                yield k, Tokens([part], kind, end=False)
+            yield k, Tokens([b""], kind)
+            continue
+        if not held:
+            first = k
+        held.append(data)
+        total += len(data)
+    if held:
+        yield first, Tokens(held)
+
+
 class Pairs:
-    """How often the texts added have each pair: words are counted class by class, and joined to the class once at the end."""
+    """How often the texts added have each pair, and how often those that are learned from: counted run by run, and summed at the end."""
 
     def __init__(self) -> None:
-        self.by_class: dict[bytes, Counter[bytes]] = {}
-        self.held = 0
-
-    def add(self, text: bytes | None) -> None:
-        text = text or b""
-        if len(text) > LONG_TEXT:
-            words = words_of(text)
-            kind = kind_of(words)
-        else:
-            words = text.lower().split()
-            kind = class_of(Counter([word for word in words if len(word) < 4]))
-            words.append(END)
-        own = self.by_class.setdefault(kind, Counter())
-        before = len(own)
-        own.update(words)
-        self.held += len(own) - before
+        self._clear()
+
+    def _clear(self) -> None:
+        self.waiting: list[tuple[bytes | None, bool]] = []
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.size = self.new = 0
+
+    def add(self, text: bytes | None, own: bool = True) -> None:
+        self.waiting.append((text, own))
+        self.new += len(text or b"") + 3
+        if self.new > LONG_TEXT:
+            self._look()
+
+    def _look(self) -> None:
+        owns = np.array([own for _, own in self.waiting], bool)
+        for first, tokens in tokens_of([text for text, _ in self.waiting]):
+            found = tokens.pairs().dictionary_encode()
+            place, keys = found.indices.to_numpy(), found.dictionary
+            n = np.bincount(place[owns[first + tokens.text]], minlength=len(keys))
+            self.parts.append((keys, n, np.bincount(place, minlength=len(keys))))
+            self.size += keys.nbytes + 16 * len(keys)
+        self.waiting, self.new = [], 0
+
+    def counts(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The pairs, and how often texts that are learned from and all texts have each."""
+        self._look()
+        found = pa.concat_arrays([pa.array([], pa.binary()), *(keys for keys, _, _ in self.parts)]).dictionary_encode()
+        place, keys = found.indices.to_numpy(), found.dictionary
+        n, m = (np.bincount(place, np.concatenate([np.empty(0), *(part[k] for part in self.parts)]), len(keys)).astype(np.int64) for k in (1, 2))
+        return keys, n, m
+
+    @property
+    def held(self) -> int:
+        return len(self.counts()[0])
 
     def taken(self) -> dict[bytes, int]:
-        out = {kind + word: n for kind, own in self.by_class.items() for word, n in own.items()}
-        self.by_class, self.held = {}, 0
-        return out
+        keys, _, m = self.counts()
+        self._clear()
+        return dict(zip(keys.to_pylist(), m.tolist(), strict=True))
+
+    def batch(self) -> pa.RecordBatch:
+        keys, n, m = self.counts()
+        self._clear()
+        return pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(m)], names=["key", "n", "m"])
 
 
 def count_pairs(texts: DataFrame) -> DataFrame:
     """(key, n, m) of (text, learned from): how often training and all texts have each pair."""
 
     def run(batches):
-        seen, rest = Pairs(), Pairs()
-
-        def out():
-            own, other = seen.taken(), rest.taken()
-            keys = list(own.keys() | other.keys())
-            n = [own.get(k, 0) for k in keys]
-            m = [a + other.get(k, 0) for a, k in zip(n, keys, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["key", "n", "m"])
-
+        pairs = Pairs()
         for batch in batches:
             for data, own in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                (seen if own else rest).add(data)
-                if seen.held + rest.held > 400_000:
-                    yield out()
-        if seen.held or rest.held:
-            yield out()
+                pairs.add(data, own)
+                if pairs.size > COUNTED:
+                    yield pairs.batch()
+        yield pairs.batch()
         trimmed()
 
     return texts.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -474,8 +578,9 @@ def _sorted(group: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def word_costs(texts: DataFrame) -> DataFrame:
-    """(key, bits, n_word, n, m, lead) of the pairs of (text, learned from): what each costs, how often training has the word and the pair, and
-    all texts the pair; lead: 1 for one pair of each word of training."""
+    """(key, bits, coarse, fine, known, n, m, lead) of the pairs of (text, learned from): what each costs, the log10 of half more than training has
+    the word, whether it has it, how often it has the pair, and all texts the pair; lead: 1 for one pair of each word of training. Costs and
+    logarithms are whole numbers of small parts, which add up to the same sums in any order and fit a long for texts of 2 GB."""
     spark = session(texts.sparkSession)
     counted = written(count_pairs(texts), "pairs")
     rows, learned = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -529,9 +634,29 @@ def word_costs(texts: DataFrame) -> DataFrame:
         for word in words:
             lead.append(int(word in left))
             left.discard(word)
-        return pa.table([keys, pa.array(bits), pa.array([total[w] for w in words], pa.int64()), pa.array(n.astype(np.int64)), pa.array(m), pa.array(lead, pa.int32())], names=["key", "bits", "n_word", "n", "m", "lead"])
+        often = np.array([total[w] for w in words], np.int64)
+        log = np.log10(often + 0.5)
+        coarse = np.floor(log * COARSE)
+        columns = [np.round(bits * BIT_PARTS), coarse, np.round((log - coarse / COARSE) * FINE), often > 0, n]
+        return pa.table([keys, *(pa.array(c.astype(np.int64)) for c in columns), pa.array(m), pa.array(lead, pa.int32())], names=["key", *SUMMED, "n", "m", "lead"])
+
+    return written(grouped.groupBy("g").applyInArrow(cost, f"key binary, {', '.join(f'{c} long' for c in SUMMED)}, n long, m long, lead int"), "costs")
+
+
+#: What a text's tokens add up.
+SUMMED = ("bits", "coarse", "fine", "known")
+
 
-    return written(grouped.groupBy("g").applyInArrow(cost, "key binary, bits double, n_word long, n long, m long, lead int"), "costs")
+def _least(costs: DataFrame, every: int) -> int:
+    """How often texts have each of the most frequent pairs at least, so that these are HEAVY at most; every: how many tokens there are."""
+    grade = F.floor(F.log2("m") * 16)
+    most, least = 0, -(-every // HEAVY)  # so often or more: at most HEAVY pairs in any case
+    for r in costs.groupBy(grade.alias("g")).agg(F.count("*").alias("n"), F.min("m").alias("m")).orderBy(F.desc("g")).collect():
+        most += r["n"]
+        if most > HEAVY:
+            break
+        least = min(least, r["m"])
+    return max(2, least)
 
 
 def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") -> DataFrame:
@@ -542,61 +667,60 @@ def score(docs: DataFrame, learned_from, keep: list[str], text: str = "text") ->
     spark = session(docs.sparkSession)
     costs = word_costs(docs.select(F.col(text).alias("t"), F.coalesce(learned_from, F.lit(False)).alias("own")))
     tokens, distinct, every = costs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("lead"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    least = max(2, -(-every // HEAVY))
-    heavy = {bytes(r["key"]): (r["bits"], math.log10(r["n_word"] + 0.5), int(r["n_word"] > 0)) for r in costs.where(F.col("m") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(heavy)
+    least = _least(costs, every)
+    heavy = costs.where(F.col("m") >= least).select("key", *SUMMED).toArrow()
+    shared = spark.sparkContext.broadcast((heavy.column("key").combine_chunks().cast(pa.binary()), np.stack([heavy.column(c).to_numpy() for c in SUMMED])))
     scale = math.log10(tokens + 0.5 * (distinct + 1))
     source = docs.select(*keep, F.col(text).alias("__text"))
+    sums = [f"__{c}" for c in SUMMED]
 
     def make():
-        known: dict[bytes, dict] = {}
-        for key, value in shared.value.items():
-            known.setdefault(key[:1], {})[key[1:]] = value
-        first, number = TaskContext.get().partitionId() << 33, 0
+        keys, values = shared.value
+        number = TaskContext.get().partitionId() << 33
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             nonlocal number
-            rows, keys, times, ends = [], [], [], [0]
-            for data in binary_list(batch.column(len(keep))):
-                words, often, counts = words_of(data), [], []
-                kind = kind_of(words)
-                own = known.get(kind, {})
-                for word, n in words.items():
-                    if (value := own.get(word)) is not None:
-                        often.append(value)
-                        counts.append(n)
-                    else:
-                        keys.append(kind + word)
-                        times.append(n)
-                ends.append(len(keys))
-                bits, base, found = (math.sumprod(value, counts) for value in zip(*often, strict=True)) if often else (0.0, 0.0, 0)
-                size = words.total()
-                rows.append((first + number, size, found, base, math.sumprod(map(len, words), words.values()) + size, bits))
-                number += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            rare = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(times, pa.int64())], names=["key", "n"])
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare))
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*keep, "__row", "n_tokens", "__known", "__base", "__bytes", "__bits", "__rare"])
+            if not batch.num_rows:
+                return None
+            size, length = np.zeros((2, batch.num_rows), np.int64)
+            added, rare = np.zeros((len(SUMMED), batch.num_rows), np.int64), []
+            for first, tokens in tokens_of(binary_list(batch.column(len(keep)))):
+                own = slice(first, first + len(tokens.words))
+                size[own] += tokens.words
+                np.add.at(length, first + tokens.text, tokens.lengths)  # a word and its blank: as many as with the class
+                found = tokens.pairs().dictionary_encode()
+                pairs = found.dictionary
+                each, times = np.unique(tokens.text * len(pairs) + found.indices.to_numpy(), return_counts=True)
+                row, pair = np.divmod(each, max(1, len(pairs)))
+                at = pc.index_in(pairs, value_set=keys).fill_null(-1).to_numpy()[pair]
+                here = at >= 0
+                for total, value in zip(added, values, strict=True):
+                    np.add.at(total, first + row[here], value[at[here]] * times[here])
+                rare.append((first + row[~here], pairs.take(pa.array(pair[~here])), times[~here]))
+            ends = np.cumsum(np.bincount(np.concatenate([r for r, _, _ in rare]), minlength=batch.num_rows))
+            others = pa.StructArray.from_arrays([pa.concat_arrays([k for _, k, _ in rare]), pa.array(np.concatenate([n for _, _, n in rare]), pa.int64())], names=["key", "n"])
+            columns = [np.arange(number, number + batch.num_rows), size, length, *added]
+            number += batch.num_rows
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), others)
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(c, pa.int64()) for c in columns), lists], names=[*keep, "__row", "n_tokens", "__bytes", *sums, "__rare"])
 
         return step
 
-    scored = written(arrow_map(source, make, schema_with(source, keep, "__row long, n_tokens long, __known long, __base double, __bytes long, __bits double, __rare array<struct<key:binary,n:long>>")), "scored")
+    scored = written(arrow_map(source, make, schema_with(source, keep, f"__row long, n_tokens long, __bytes long, {', '.join(f'{c} long' for c in sums)}, __rare array<struct<key:binary,n:long>>")), "scored")
     rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.key", F.col("r.n").alias("times"))
     # Each pair has one row of costs, so a task's share of them is small: the documents' pairs needn't be sorted.
-    found = rare.join(costs.where(F.col("m") < least).select("key", "bits", "n_word").hint("shuffle_hash"), "key")
-    # Whole numbers of small parts add up to the same sum in any order, and fit a long for texts of 2 GB.
-    exact = lambda x, parts: F.sum(F.round(F.col("times") * x * F.lit(float(parts))).cast("long")) / F.lit(float(parts))
-    added = found.groupBy("__row").agg(exact(F.log10(F.col("n_word") + 0.5), BASE_PARTS).alias("__more"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("__found"), exact(F.col("bits"), BIT_PARTS).alias("__cost"))
+    found = rare.join(costs.where(F.col("m") < least).select("key", *SUMMED).hint("shuffle_hash"), "key")
+    added = found.groupBy("__row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"{c}_more") for c in SUMMED))
     whole = scored.drop("__rare").join(added, "__row", "left")
-    of = lambda name, kind: F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind))
-    bits = F.col("__bits") + of("__cost", "double") + F.lit(math.log2(CLASSES))
+    of = lambda c: F.col(f"__{c}") + F.coalesce(F.col(f"{c}_more"), F.lit(0))
+    bits = of("bits") / F.lit(float(BIT_PARTS)) + F.lit(math.log2(CLASSES))
+    base = of("coarse") / F.lit(float(COARSE)) + of("fine") / F.lit(float(FINE))
     return whole.select(
         *keep,
         "n_tokens",
-        (F.col("__known") + of("__found", "long")).cast("long").alias("n_known"),
+        of("known").cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") + of("__more", "double") - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
+        (base - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
         (-bits * math.log10(2)).alias("score"),
         (bits / F.col("__bytes")).alias("bits_per_byte"),
     )
